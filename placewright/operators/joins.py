@@ -14,15 +14,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.matching import byte_view, edit_distance, is_ascii, is_subsequence
+from placewright.scratch import written
 
 # Deletion keys per term up to which they are preferred to segment keys.
 MAX_DELETION_KEYS = 2048
 # Terms per segment key, and terms per task on a byte-pair key, beyond which the key counts as hot.
 HOT_KEY_TERMS = 4096
+# Keys, of some bytes each, that are broadcast after they have been counted.
+MAX_BROADCAST_KEYS = 1_000_000
+# Bits of a deletion key that hold the number of deletions, cut off at the largest value they can hold.
+LEVEL_MASK = 15
 # Prefix lengths whose keys are spread over several tasks, and over how many.
 SHORT_PREFIX, SHORT_PREFIX_SALTS = 3, 16
 
 
+def spread(strings: DataFrame) -> DataFrame:
+    """Strings over all shuffle partitions, before each is turned into many keys.
+
+    Partitions sized by the bytes of the strings would leave few tasks to make the keys. Given by
+    number, the partitions are not merged again at run time; hashed by something else than the string,
+    they are not taken for those that a distinct has left.
+    """
+    n_partitions = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return strings.repartition(n_partitions, F.xxhash64(strings.columns[0]))
+
+
+def on_keys(keyed_texts: DataFrame, keyed_terms: DataFrame, keys: list[str]) -> DataFrame:
+    """Join of two sides that were turned into many keys per string.
+
+    Size estimates do not see how many, and might broadcast a side that is hundreds of times larger
+    than they say. The hint keeps it a shuffle join, which skewed partitions are split in.
+    """
+    return keyed_texts.join(keyed_terms.hint("merge"), keys)
+
+
 def exact_pairs(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Equal strings."""
     return texts.join(dictionary, F.col("text") == F.col("term")).withColumn("distance", F.lit(0))
@@ -67,7 +92,7 @@ def prefix_pairs(texts: DataFrame, dictionary: DataFrame, max_distance: int = 0)
     )
     salts = F.sequence(F.lit(0), n_salts(F.length("text")) - 1)
     keyed = texts.select("text", F.xxhash64("text").alias("key"), F.explode(salts).alias("salt"))
-    met = keyed.join(terms, ["key", "salt"]).filter(F.startswith("term", "text"))
+    met = on_keys(keyed, terms, ["key", "salt"]).filter(F.startswith("term", "text"))
     return met.select("text", "term", "distance")
 
 
@@ -75,7 +100,14 @@ def prefix_pairs(texts: DataFrame, dictionary: DataFrame, max_distance: int = 0)
 
 
 def deletion_keys(text: Column, deletions: int) -> Column:
-    """Hashes of the string and of all strings left by deleting up to that many code points."""
+    """Hashes of the string and of all strings left by deleting up to that many code points.
+
+    The lowest bits of a hash give way to the number of deletions; see :func:`key_of`.
+    """
+
+    def key(string: Column, left: int) -> Column:
+        level = min(deletions - left, LEVEL_MASK)
+        return F.xxhash64(string).bitwiseAND(F.lit(~LEVEL_MASK)).bitwiseOR(F.lit(level))
 
     def without(string: Column, position: Column) -> Column:
         head = F.substring(string, F.lit(1), position - 1)
@@ -85,7 +117,7 @@ def deletion_keys(text: Column, deletions: int) -> Column:
         # Positions never move back, so that each set of deleted positions occurs once.
         positions = F.sequence(start, F.length(string))
         if left == 1:
-            found = F.transform(positions, lambda at: F.xxhash64(without(string, at)))
+            found = F.transform(positions, lambda at: key(without(string, at), 0))
         else:
 
             def at_position(at: Column) -> Column:
@@ -97,11 +129,19 @@ def deletion_keys(text: Column, deletions: int) -> Column:
         return F.when(start <= F.length(string), found).otherwise(F.array().cast("array<bigint>"))
 
     def with_own(string: Column, start: Column, left: int) -> Column:
-        return F.concat(F.array(F.xxhash64(string)), shorter(string, start, left))
+        return F.concat(F.array(key(string, left)), shorter(string, start, left))
 
     return F.array_distinct(with_own(text, F.lit(1), deletions))
 
 
+def key_of(marked: Column) -> Column:
+    return marked.bitwiseAND(F.lit(~LEVEL_MASK))
+
+
+def level_of(marked: Column) -> Column:
+    return marked.bitwiseAND(F.lit(LEVEL_MASK)).cast("int")
+
+
 def longest_for_deletions(k: int) -> int:
     """Length up to which terms get deletion keys for distance ``k``."""
     length = k
@@ -118,14 +158,27 @@ def _deletion_candidates(
     Two strings within distance k always have one. As both sides are without duplicates, a key is
     shared by no more terms than there are ways to insert k characters, so there are no hot keys, no
     matter how many places or mentions share a name.
+
+    ``deleted`` is the larger number of deletions that led to the common string. Strings at distance d
+    have one with at most d, so all others only repeat the pair.
     """
     text_keys = deletion_keys(F.col("text"), k)
     if as_subsequence:
         # An ASCII text inside a term is what deletions from the term alone lead to.
-        text_keys = F.when(is_ascii(F.col("text")), F.array(F.xxhash64("text"))).otherwise(text_keys)
-    keyed_texts = texts.select("text", F.explode(text_keys).alias("key"))
-    keyed_terms = dictionary.select("term", F.explode(deletion_keys(F.col("term"), k)).alias("key"))
-    return keyed_texts.join(keyed_terms, "key").select("text", "term")
+        own = F.array(F.xxhash64("text").bitwiseAND(F.lit(~LEVEL_MASK)))
+        text_keys = F.when(is_ascii(F.col("text")), own).otherwise(text_keys)
+    keyed_texts = spread(texts).select("text", F.explode(text_keys).alias("marked"))
+    keyed_terms = spread(dictionary).select(
+        "term", F.explode(deletion_keys(F.col("term"), k)).alias("marked")
+    )
+    met = on_keys(
+        keyed_texts.select("text", key_of(F.col("marked")).alias("key")),
+        keyed_terms.select("term", key_of(F.col("marked")).alias("key"), level_of(F.col("marked")).alias("n")),
+        ["key"],
+    )
+    # Both have lost characters down to the same length.
+    from_text = F.col("n") - F.length("term") + F.length("text")
+    return met.select("text", "term", F.greatest("n", from_text).alias("deleted"))
 
 
 def _segment_keys_of_term(k: int) -> Column:
@@ -188,14 +241,14 @@ def _segment_candidates(
     on a segment that is not hot.
     """
     text_keys = F.explode(_segment_keys_of_text(k, longer_than))
-    keyed_terms = dictionary.select("term", F.explode(_segment_keys_of_term(k)).alias("key"))
-    keyed_texts = texts.select("text", text_keys.alias("key"))
+    keyed_terms = spread(dictionary).select("term", F.explode(_segment_keys_of_term(k)).alias("key"))
+    keyed_texts = spread(texts).select("text", text_keys.alias("key"))
     hot = keyed_terms.groupBy("key").count().filter(F.col("count") > HOT_KEY_TERMS).select("key")
-    cold_pairs = keyed_texts.join(keyed_terms.join(hot, "key", "left_anti"), "key")
+    cold_pairs = on_keys(keyed_texts, keyed_terms.join(hot, "key", "left_anti"), ["key"])
     hot_terms = keyed_terms.join(hot, "key", "left_semi").select("term").distinct()
     hot_texts = keyed_texts.join(hot, "key", "left_semi").select("text").distinct()
     hot_pairs = _deletion_candidates(hot_texts, hot_terms, k, as_subsequence)
-    return cold_pairs.select("text", "term").unionByName(hot_pairs)
+    return cold_pairs.select("text", "term", F.lit(0).alias("deleted")).unionByName(hot_pairs)
 
 
 def _edit_candidates(
@@ -224,7 +277,7 @@ def levenshtein_pairs(
         return exact_pairs(texts, dictionary)
     met = _edit_candidates(texts, dictionary, k, longest_term)
     distance = edit_distance(F.col("text"), F.col("term"), k)
-    return met.withColumn("distance", distance).filter("distance >= 0")
+    return met.withColumn("distance", distance).filter("distance >= deleted").drop("deleted")
 
 
 def once(pairs: DataFrame) -> DataFrame:
@@ -241,53 +294,91 @@ def capped_subsequence_pairs(
     """Texts that are a byte subsequence of a term at edit distance 1..k. Pairs may repeat."""
     met = _edit_candidates(texts, dictionary, k, longest_term, as_subsequence=True)
     text, term = F.col("text"), F.col("term")
-    within = met.withColumn("distance", edit_distance(text, term, k)).filter("distance >= 0")
+    within = met.withColumn("distance", edit_distance(text, term, k)).filter("distance >= deleted")
     # For an ASCII text the distance itself tells: only insertions make it the length difference.
     ascii_test = F.col("distance") == F.length(term) - F.length(text)
     test = F.when(is_ascii(text), ascii_test).otherwise(is_subsequence(text, term))
-    return within.filter(test)
+    return within.filter(test).drop("deleted")
+
+
+def _with_bytes(strings: DataFrame, name: str) -> DataFrame:
+    """Add the bytes of a string as an array, and as a ``mask`` with a bit for each byte modulo 64."""
+    split = spread(strings).withColumn("chars", F.split(byte_view(F.col(name)), ""))
+    bit = lambda char: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(char) % 64)
+    mask = F.aggregate("chars", F.lit(0).cast("long"), lambda bits, char: bits.bitwiseOR(bit(char)))
+    return split.withColumn("mask", mask)
+
+
+def _after(chars: Column, i: Column) -> Column:
+    return F.slice(chars, i + 2, F.size(chars))
+
+
+def _grams(chars: Column) -> Column:
+    """All pairs of bytes that occur in this order, all bytes, and the empty gram."""
+    pairs = F.transform(chars, lambda a, i: F.transform(_after(chars, i), lambda b: F.concat(a, b)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), chars, F.flatten(pairs)))
+
 
+def _triples(chars: Column) -> Column:
+    """All triples of bytes that occur in this order."""
 
-def _with_grams(strings: DataFrame, name: str) -> DataFrame:
-    """Add the grams of a string: all pairs of its bytes in order, all its bytes, the empty gram."""
-    chars = F.col("chars")
-    pairs = F.transform(
+    def starting_with(a: Column, i: Column) -> Column:
+        # The array of one binds what follows to a name, to cut it off once.
+        return F.flatten(
+            F.transform(
+                F.array(_after(chars, i)),
+                lambda rest: F.flatten(
+                    F.transform(
+                        rest,
+                        lambda b, j: F.transform(_after(rest, j), lambda c: F.concat(a, b, c)),
+                    )
+                ),
+            )
+        )
+
+    return F.array_distinct(F.flatten(F.transform(chars, starting_with)))
+
+
+def _rarest_triple(chars: Column, byte_counts: Column) -> Column:
+    """The three bytes of a text that the fewest terms have, in text order."""
+    scored = F.transform(
         chars,
-        lambda first, i: F.transform(
-            F.slice(chars, i + 2, F.size(chars)), lambda second: F.concat(first, second)
+        lambda char, i: F.struct(
+            F.element_at(byte_counts, char).alias("n_terms"), i.alias("i"), char.alias("char")
         ),
     )
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), chars, F.flatten(pairs)))
-    split = strings.withColumn("chars", F.split(byte_view(F.col(name)), ""))
-    return split.withColumn("grams", grams).drop("chars")
+    three = F.slice(F.array_sort(scored), 1, 3)
+    in_order = F.array_sort(F.transform(three, lambda s: F.struct(s["i"].alias("i"), s["char"].alias("char"))))
+    return F.array_join(F.transform(in_order, lambda s: s["char"]), "")
 
 
-def subsequence_pairs(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+def subsequence_pairs(
+    texts: DataFrame, dictionary: DataFrame, longest_term: int | None = None
+) -> DataFrame:
     """Texts that are a byte subsequence of a term, at any distance.
 
     Every two bytes of the text occur in this order in the term, so a text may look for its terms under
-    any one of its byte pairs, and takes the one that the fewest terms have. The table of grams has at
-    most 256 * 256 + 256 + 1 rows whatever the data, so it is broadcast. It also says how many terms are
-    under each gram; a hot one is split into tasks of bounded size by a hash of the term.
+    any one of its byte pairs, and takes the one that the fewest terms have. Where even that pair is
+    common, the text looks under three bytes instead. The counts of bytes and pairs that these choices
+    need have at most 256 * 256 + 256 + 1 rows whatever the data; they and the choices are written to
+    tables first, so that the plan for the rest follows measured sizes.
     """
-    grams = _with_grams(dictionary, "term").select("term", F.explode("grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n_terms"))
-    # A text of one byte has no pair and an empty one no byte: they have to take what they have.
-    own_size = F.least(F.lit(2), F.octet_length("text"))
-    own = F.filter("grams", lambda gram: F.length(gram) == own_size)
-    choices = _with_grams(texts, "text").select("text", F.explode(own).alias("gram"))
-    # A gram that no term has counts as 0 and leaves the text without terms.
-    counted = choices.join(F.broadcast(counts), "gram", "left")
-    choice = F.min(F.struct(F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "gram")).alias("choice")
-    chosen = counted.groupBy("text").agg(choice).select("text", "choice.*").filter("n_terms > 0")
-    used = F.broadcast(chosen.select("gram", "n_terms").distinct())
-    n_salts = F.ceil(F.col("n_terms") / HOT_KEY_TERMS).cast("int")
-    keyed_texts = chosen.select("text", "gram", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"))
-    keyed_terms = grams.join(used, "gram").select(
-        "term", "gram", F.pmod(F.xxhash64("term"), n_salts).cast("int").alias("salt")
-    )
+    if longest_term is not None:
+        texts = texts.filter(F.length("text") <= longest_term)
+    term_bytes = _with_bytes(dictionary, "term").withColumnRenamed("mask", "term_mask")
+    grams = term_bytes.select("term", "term_mask", F.explode(_grams(F.col("chars"))).alias("gram"))
+    counts = written(grams.groupBy("gram").agg(F.count("*").alias("n_terms")))
+    chosen = written(_choices(texts, counts))
+    # A text of up to two bytes is in every term that has its gram, so its candidates are results.
+    by_gram = (F.col("n_terms") <= HOT_KEY_TERMS) | (F.octet_length("text") <= 2)
+    met = _meet_on_grams(chosen.filter(by_gram), grams)
+    n_rest = chosen.filter(~by_gram).count()
+    if n_rest:
+        met = met.unionByName(_meet_on_triples(chosen.filter(~by_gram), n_rest, term_bytes, counts))
+    # The cheap tests first, as most pairs fail them.
     text, term = F.col("text"), F.col("term")
-    met = keyed_texts.join(keyed_terms, ["gram", "salt"]).filter(F.octet_length(text) < F.octet_length(term))
+    contained = F.col("mask").bitwiseAND(F.bitwise_not("term_mask")) == 0
+    met = met.filter(contained & (F.octet_length(text) < F.octet_length(term)))
     gap = F.length(term) - F.length(text)
     # One distance answers both questions for ASCII texts; others need the bytes compared as well.
     inserted = F.call_function("levenshtein", text, term, F.greatest(gap, F.lit(0)))
@@ -297,3 +388,43 @@ def subsequence_pairs(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     longer = met.select("text", "term", distance.alias("distance")).filter(F.col("distance").isNotNull())
     # Strings of equal size contain each other only if they are equal.
     return longer.unionByName(exact_pairs(texts, dictionary))
+
+
+def _choices(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each text's rarest pair of bytes and the number of terms under it, if there are any."""
+    # A text of one byte has no pair and an empty one no byte: they have to take what they have.
+    own_size = F.least(F.lit(2), F.octet_length("text"))
+    own = F.filter(_grams(F.col("chars")), lambda gram: F.length(gram) == own_size)
+    grams = _with_bytes(texts, "text").select("text", "mask", F.explode(own).alias("gram"))
+    # A gram that no term has counts as 0 and leaves the text without terms.
+    counted = grams.join(F.broadcast(counts), "gram", "left")
+    choice = F.min(F.struct(F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "gram", "mask"))
+    return counted.groupBy("text").agg(choice.alias("choice")).select("text", "choice.*").filter("n_terms > 0")
+
+
+def _meet_on_grams(chosen: DataFrame, grams: DataFrame) -> DataFrame:
+    """Texts and terms under the chosen grams; a hot one is split by a hash of the term."""
+    n_salts = F.ceil(F.col("n_terms") / HOT_KEY_TERMS).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt")
+    keyed_texts = chosen.select("text", "mask", "gram", salts)
+    used = F.broadcast(chosen.select("gram", "n_terms").distinct())
+    salt = F.pmod(F.xxhash64("term"), n_salts).cast("int").alias("salt")
+    keyed_terms = grams.join(used, "gram").select("term", "term_mask", "gram", salt)
+    return on_keys(keyed_texts, keyed_terms, ["gram", "salt"]).drop("gram", "salt")
+
+
+def _meet_on_triples(
+    chosen: DataFrame, n_chosen: int, term_bytes: DataFrame, counts: DataFrame
+) -> DataFrame:
+    """Texts and terms under the three rarest bytes of the text."""
+    byte_counts = counts.filter(F.length("gram") == 1).agg(
+        F.map_from_entries(F.collect_list(F.struct("gram", "n_terms")))
+    )
+    with_counts = _with_bytes(chosen.drop("mask"), "text").withColumn("byte_counts", byte_counts.scalar())
+    triple = _rarest_triple(F.col("chars"), F.col("byte_counts"))
+    keyed_texts = with_counts.select("text", "mask", triple.alias("triple"))
+    keyed_terms = term_bytes.select("term", "term_mask", F.explode(_triples(F.col("chars"))).alias("triple"))
+    if n_chosen <= MAX_BROADCAST_KEYS:
+        used = F.broadcast(keyed_texts.select("triple").distinct())
+        keyed_terms = keyed_terms.join(used, "triple", "left_semi")
+    return on_keys(keyed_texts, keyed_terms, ["triple"]).drop("triple")

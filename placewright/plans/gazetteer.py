@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewright.functions.parsing import strict_id
 from placewright.operators.terms import alternate_pairs, main_pairs, place_records, searchable
 from placewright.schema import DEFAULT_LANGUAGES, SRC_ALTERNATE, SRC_MAIN
 from placewright.sources.dumps import scan_alternates, scan_places
@@ -78,7 +79,8 @@ def search_pairs(
     pairs = main_pairs(main)
     if alternates is None:
         return pairs
-    place_ids = place_records(main)
+    # The semi join asks for existence only, so it takes the ids as they come.
+    place_ids = main.select(strict_id(F.col("id")).alias("id"))
     return pairs.unionByName(alternate_pairs(alternates, place_ids, languages))
 
 

@@ -42,8 +42,11 @@ def tag(
     """Tag ``mentions(reference, text)``: ``reference, key, entry, distance``.
 
     ``selection`` keeps the first match of each mention in the order of the single lookups, or all of
-    them. Mentions without a match leave no row. ``rank`` adds the position in the mention's results;
-    numbering all results writes the matches to a table first, since it reads them twice.
+    them. Mentions without a match leave no row. ``rank`` adds the position in the mention's results.
+
+    The result is lazy, but two forms run jobs and write tables below ``spark.checkpoint.dir`` first:
+    ``rank`` over all results, which reads the matches twice, and ``fuzzy`` without a limit, which
+    counts byte pairs to choose its join keys.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {', '.join(MODES)}")
@@ -74,7 +77,7 @@ def _pairs(texts: DataFrame, dictionary: DataFrame, gazetteer: Gazetteer, mode:
         return levenshtein_pairs(texts, dictionary, k, gazetteer.longest_term() if k else None)
     if k:
         return capped_subsequence_pairs(texts, dictionary, k, gazetteer.longest_term())
-    return subsequence_pairs(texts, dictionary)
+    return subsequence_pairs(texts, dictionary, gazetteer.longest_term())
 
 
 def _repeats(mode: str, k: int) -> bool:
