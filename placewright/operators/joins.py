@@ -205,28 +205,24 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
 def _segment_keys_of_text(k: int, longer_than: int) -> Column:
     """Hashes of all substrings of a text that may be a segment of a term within distance k."""
 
-    def for_length(length: Column) -> Column:
-        shifts = F.sequence(F.lit(-k), F.lit(k))
-        keys = []
-        for i in range(k + 1):
-            start, size = _segment(length, i, k)
-            fits = lambda d, start=start, size=size: (start + d >= 1) & (
-                start + d + size - 1 <= F.length("text")
-            )
-            keys.append(
-                F.transform(
-                    F.filter(shifts, fits),
-                    lambda d, i=i, start=start, size=size: F.xxhash64(
-                        length, F.lit(i), F.substring(F.col("text"), start + d, size)
-                    ),
-                )
-            )
-        return F.concat(*keys)
+    text, shifts = F.col("text"), F.sequence(F.lit(-k), F.lit(k))
+
+    def keys_of_segment(length: Column, i: int) -> Column:
+        start, size = _segment(length, i, k)
+        inside = F.filter(
+            shifts, lambda d: (start + d >= 1) & (start + d + size - 1 <= F.length(text))
+        )
+        return F.transform(
+            inside, lambda d: F.xxhash64(length, F.lit(i), F.substring(text, start + d, size))
+        )
+
+    def keys_for_length(length: Column) -> Column:
+        return F.concat(*[keys_of_segment(length, i) for i in range(k + 1)])
 
     shortest = F.greatest(F.lit(longer_than + 1), F.length("text") - k)
     longest = F.length("text") + k
     lengths = F.sequence(shortest, longest)
-    keys = F.array_distinct(F.flatten(F.transform(lengths, for_length)))
+    keys = F.array_distinct(F.flatten(F.transform(lengths, keys_for_length)))
     return F.when(shortest <= longest, keys).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -303,7 +299,9 @@ def capped_subsequence_pairs(
 
 def _with_bytes(strings: DataFrame, name: str) -> DataFrame:
     """Add the bytes of a string as an array, and as a ``mask`` with a bit for each byte modulo 64."""
-    split = spread(strings).withColumn("chars", F.split(byte_view(F.col(name)), ""))
+    # Splitting the empty string gives one empty part.
+    parts = F.array_remove(F.split(byte_view(F.col(name)), ""), "")
+    split = spread(strings).withColumn("chars", parts)
     bit = lambda char: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(char) % 64)
     mask = F.aggregate("chars", F.lit(0).cast("long"), lambda bits, char: bits.bitwiseOR(bit(char)))
     return split.withColumn("mask", mask)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.operators.ranking import with_rank
+from placewright.scratch import written
 from placewright.schema import KEY_FIELDS, PLACE_FIELDS, SEQ_FIELDS
 
 # Ids are ranked in runs of this many, so that one task never numbers a whole result.
@@ -38,6 +39,9 @@ def chunk_columns(order: list[str]) -> list[Column]:
 
 
 def ranked(matches: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Add the position of each match in the result list of its group."""
+    """Add the position of each match in the result list of its group.
+
+    The matches are written to a table first: numbering reads them twice, and finding them costs more.
+    """
     columns = [F.col(name) for name in order]
-    return with_rank(matches, [F.col(name) for name in group], chunk_columns(order), columns)
+    return with_rank(written(matches), [F.col(name) for name in group], chunk_columns(order), columns)

@@ -2,7 +2,8 @@
 
 Each function returns ``key`` and ``entry`` structs, with ``distance`` where there is one, in result
 order. A DataFrame keeps its order only until the next shuffle; ``rank=True`` adds it as a column
-instead of sorting. All take the place filters ``feature_class``, ``feature_code`` and ``country_code``.
+instead of sorting, for which the matches are written to a table first. All take the place filters
+``feature_class``, ``feature_code`` and ``country_code``.
 """
 
 from __future__ import annotations

@@ -22,7 +22,6 @@ from placewright.operators.joins import (
 from placewright.plans.gazetteer import Gazetteer
 from placewright.plans.results import key_struct, order_columns, ranked, with_entry
 from placewright.plans.search import limit
-from placewright.scratch import written
 
 MODES = ("find", "starts_with", "fuzzy", "levenshtein")
 DEFAULT_MAX_DIST = {"find": 0, "starts_with": 0, "fuzzy": 0, "levenshtein": 1}
@@ -59,7 +58,7 @@ def tag(
     else:
         matches = _all(texts, gazetteer, mode, k, place_filter)
         if rank:
-            matches = ranked(written(matches), ["text"], order_columns(mode == "find", True))
+            matches = ranked(matches, ["text"], order_columns(mode == "find", True))
     columns = ["text", key_struct(F.col("term")), "entry", "distance"]
     if rank:
         columns.append(F.lit(1).cast("long").alias("rank") if selection == "first" else F.col("rank"))
@@ -114,20 +113,33 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
     least = F.min(F.struct(*[name for name in order if name != "term"], *_rest(order))).alias("least")
     best = _postings(gazetteer, place_filter).groupBy("term").agg(least)
     if mode == "starts_with":
-        # What is beyond a prefix depends on the term alone, so a prefix has a least match by itself.
-        candidates = with_prefixes(best, prefix_lengths(texts), k)
-        keyed = candidates.withColumn("text", F.substring("term", F.lit(1), F.col("plen")))
+        winners = _least_by_prefix(texts, best, k)
     else:
-        keyed = _pairs(texts, best.select("term"), gazetteer, mode, k).join(best, "term")
-    choice = F.min(F.struct("distance", "least.ord", "least.id", "term", "least.seq", "least"))
-    if mode == "find":
-        winners = keyed.select("text", "term", "distance", "least.*")
-    else:
-        winners = keyed.groupBy("text").agg(choice.alias("w")).select("text", "w.term", "w.distance", "w.least.*")
-    if mode == "starts_with":
-        winners = winners.join(texts, "text", "left_semi")
+        # Nothing comes before the term that equals the text, so texts with one are done.
+        winners = exact_pairs(texts, best).select("text", "term", "distance", "least.*")
+        if mode == "fuzzy" or (mode == "levenshtein" and k):
+            rest = texts.join(best.select("term"), F.col("text") == F.col("term"), "left_anti")
+            near = _pairs(rest, best.select("term"), gazetteer, mode, k).join(best, "term")
+            winners = winners.unionByName(_least(near, "text"))
     return with_entry(winners, gazetteer.places)
 
 
+def _least(candidates: DataFrame, key: str) -> DataFrame:
+    choice = F.min(F.struct("distance", "least.ord", "least.id", "term", "least.seq", "least"))
+    chosen = candidates.groupBy(key).agg(choice.alias("w"))
+    return chosen.select(key, "w.term", "w.distance", "w.least.*")
+
+
+def _least_by_prefix(texts: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """The least match of each text as a prefix.
+
+    What is beyond a prefix depends on the term alone, so a prefix has a least match by itself, and
+    the terms that share it, however many, are reduced before the shuffle.
+    """
+    candidates = with_prefixes(best, prefix_lengths(texts), k)
+    keyed = candidates.withColumn("text", F.substring("term", F.lit(1), F.col("plen")))
+    return _least(keyed, "text").join(texts, "text", "left_semi")
+
+
 def _rest(order: list[str]) -> list[str]:
     return [name for name in ["ord", "id", "seq", *_PAYLOAD] if name not in order]
