@@ -32,7 +32,7 @@ _POSIX = {
 _TOKEN = re.compile(
     r"""
       (?P<property>\\[pP](?:\{[^}]*\}|.))
-    | (?P<wide>\\[uU]\{[0-9A-Fa-f]+\} | \\U[0-9A-Fa-f]{8})
+    | (?P<wide>\\[xuU]\{[0-9A-Fa-f]+\} | \\U[0-9A-Fa-f]{8})
     | (?P<escape>\\(?:.|\Z))
     | (?P<posix>\[:\^?[a-z]+:\])
     | (?P<group>\(\?P?<[A-Za-z_][\w.\[\]]*>)
