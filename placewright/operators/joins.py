@@ -56,13 +56,13 @@ def exact_pairs(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
 # --- prefixes -------------------------------------------------------------------------------------
 
 
-def prefix_lengths(texts: DataFrame) -> Column:
+def prefix_lengths(texts: DataFrame, longest_term: int) -> Column:
     """The lengths that texts have, as an array for use in another query.
 
-    Evaluated by one aggregation before the query that uses it. Its size is bounded by the longest
-    text, whatever the number of texts.
+    Evaluated by one aggregation before the query that uses it. Texts longer than all terms do not
+    count, so its size is bounded by the longest term, whatever the texts.
     """
-    lengths = F.collect_set(F.length("text"))
+    lengths = F.collect_set(F.when(F.length("text") <= longest_term, F.length("text")))
     return texts.agg(F.coalesce(lengths, F.array().cast("array<int>"))).scalar()
 
 
@@ -75,14 +75,16 @@ def with_prefixes(terms: DataFrame, lengths: Column, max_distance: int = 0) -> D
     )
 
 
-def prefix_pairs(texts: DataFrame, dictionary: DataFrame, max_distance: int = 0) -> DataFrame:
+def prefix_pairs(
+    texts: DataFrame, dictionary: DataFrame, max_distance: int, longest_term: int
+) -> DataFrame:
     """Terms that start with the text, at most ``max_distance`` longer unless that is 0.
 
     Terms emit one key per prefix, so pairs that meet are results: the join does no more work than
     its output asks for. Keys of short prefixes hold large parts of the dictionary and are salted;
     there are few texts that short to be repeated.
     """
-    terms = with_prefixes(dictionary, prefix_lengths(texts), max_distance)
+    terms = with_prefixes(dictionary, prefix_lengths(texts, longest_term), max_distance)
     n_salts = lambda length: F.when(length <= SHORT_PREFIX, SHORT_PREFIX_SALTS).otherwise(1)
     terms = terms.select(
         "term",
@@ -251,9 +253,11 @@ def _edit_candidates(
     texts: DataFrame, dictionary: DataFrame, k: int, longest_term: int | None, as_subsequence: bool = False
 ) -> DataFrame:
     limit = longest_for_deletions(k)
+    if longest_term is not None:
+        texts = texts.filter(F.length("text") <= longest_term + k)
+        if longest_term <= limit:
+            return _deletion_candidates(texts, dictionary, k, as_subsequence)
     short_texts = texts.filter(F.length("text") <= limit + k)
-    if longest_term is not None and longest_term <= limit:
-        return _deletion_candidates(short_texts, dictionary, k, as_subsequence)
     short_terms = dictionary.filter(F.length("term") <= limit)
     long_terms = dictionary.filter(F.length("term") > limit)
     long_texts = texts.filter(F.length("text") > limit - k)

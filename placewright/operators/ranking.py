@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,25 +12,37 @@ from pyspark.sql import functions as F
 def with_rank(
     df: DataFrame,
     group: Sequence[Column],
-    chunk: Sequence[Column],
+    chunks: Sequence[Sequence[Column]],
     order: Sequence[Column],
     name: str = "rank",
 ) -> DataFrame:
     """Add the row number within ``group`` by ``order``, without sorting a group in one task.
 
-    ``chunk`` columns cut a group into consecutive pieces: ordering by ``chunk`` first must not change
-    the order. Rows are numbered within their piece, and the sizes of the pieces before it, summed
-    over one row per piece, are added. ``df`` is read twice, so a costly one should be a written table.
+    Each level of ``chunks`` cuts the pieces of the level before it, the first one the group, into
+    consecutive pieces: ordering by the levels first must not change the order. Rows are numbered within
+    the smallest pieces; then, level by level, the sizes of the pieces before are added, which are sums
+    over one row per piece. ``df`` is read twice, so a costly one should be a written table.
     """
-    keys = [f"_k{i}" for i in range(len(group) + len(chunk))]
-    group_keys, chunk_keys = keys[: len(group)], keys[len(group) :]
-    keyed = df.select("*", *[c.alias(k) for c, k in zip([*group, *chunk], keys, strict=True)])
-    earlier = Window.partitionBy(*group_keys).orderBy(*chunk_keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*keys)
-        .agg(F.count("*").alias("_size"))
-        .select(*keys, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    )
+    levels = [group, *chunks]
+    numbers = itertools.count()
+    names = [[f"_k{next(numbers)}" for _ in level] for level in levels]
+    keys = list(itertools.chain(*names))
+    aliases = [c.alias(k) for c, k in zip(itertools.chain(*levels), keys, strict=True)]
+    keyed = df.select("*", *aliases)
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_size"))
+    offsets = sizes.select(*keys, _size_before(names).alias("_before"))
+    for depth in range(len(names) - 1, 1, -1):
+        outer = list(itertools.chain(*names[:depth]))
+        pieces = sizes.groupBy(*outer).agg(F.sum("_size").alias("_size"))
+        pieces = pieces.select(*outer, _size_before(names[:depth]).alias("_outer"))
+        offsets = offsets.join(pieces, outer).select(*keys, (F.col("_before") + F.col("_outer")).alias("_before"))
     within = Window.partitionBy(*keys).orderBy(*order)
     numbered = keyed.withColumn("_row", F.row_number().over(within)).join(offsets, keys)
     return numbered.withColumn(name, F.col("_row") + F.col("_before")).drop(*keys, "_row", "_before")
+
+
+def _size_before(names: list[list[str]]) -> Column:
+    """Rows in the pieces of the last level that come before this one within the piece around them."""
+    around = Window.partitionBy(*itertools.chain(*names[:-1])).orderBy(*names[-1])
+    before = around.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_size").over(before), F.lit(0))

@@ -137,4 +137,4 @@ def posting_lists(terms: DataFrame) -> DataFrame:
     """
     order = [F.col("seq")]
     block = [F.col(f"seq.{name}") for name in ("src", "file_no", "block")]
-    return with_rank(terms, [F.col("term")], block, order, name="position")
+    return with_rank(terms, [F.col("term")], [block], order, name="position")

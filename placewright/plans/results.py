@@ -9,8 +9,9 @@ from placewright.operators.ranking import with_rank
 from placewright.scratch import written
 from placewright.schema import KEY_FIELDS, PLACE_FIELDS, SEQ_FIELDS
 
-# Ids are ranked in runs of this many, so that one task never numbers a whole result.
+# Results are numbered in runs of this many ids, and within an id by this many characters of the term.
 IDS_PER_CHUNK = 1 << 12
+BEGINNING = 8
 
 
 def key_struct(term: Column) -> Column:
@@ -30,12 +31,17 @@ def order_columns(insertion_order: bool, with_distance: bool) -> list[str]:
     return [*(["distance"] if with_distance else []), "ord", "id", "term", "seq"]
 
 
-def chunk_columns(order: list[str]) -> list[Column]:
-    """Leading part of the result order, to number results in pieces."""
+def chunk_levels(order: list[str]) -> list[list[Column]]:
+    """Leading parts of the result order, to number results in pieces.
+
+    A result is cut into runs of ids, and a run into its ids and the beginnings of their terms, so that
+    neither a text with very many results nor a place with very many names ends up in one task.
+    """
     if order[0] == "seq":
-        return [F.col(f"seq.{name}") for name in SEQ_FIELDS[:3]]
+        return [[F.col(f"seq.{name}") for name in SEQ_FIELDS[:3]]]
     leading = [F.col(name) for name in order[: order.index("id")]]
-    return [*leading, F.floor(F.col("id") / IDS_PER_CHUNK)]
+    beginning = F.substring("term", 1, BEGINNING)
+    return [[*leading, F.floor(F.col("id") / IDS_PER_CHUNK)], [F.col("id"), beginning]]
 
 
 def ranked(matches: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -44,4 +50,4 @@ def ranked(matches: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     The matches are written to a table first: numbering reads them twice, and finding them costs more.
     """
     columns = [F.col(name) for name in order]
-    return with_rank(written(matches), [F.col(name) for name in group], chunk_columns(order), columns)
+    return with_rank(written(matches), [F.col(name) for name in group], chunk_levels(order), columns)

@@ -71,7 +71,7 @@ def _pairs(texts: DataFrame, dictionary: DataFrame, gazetteer: Gazetteer, mode:
     if mode == "find":
         return exact_pairs(texts, dictionary)
     if mode == "starts_with":
-        return prefix_pairs(texts, dictionary, k)
+        return prefix_pairs(texts, dictionary, k, gazetteer.longest_term())
     if mode == "levenshtein":
         return levenshtein_pairs(texts, dictionary, k, gazetteer.longest_term() if k else None)
     if k:
@@ -113,7 +113,7 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
     least = F.min(F.struct(*[name for name in order if name != "term"], *_rest(order))).alias("least")
     best = _postings(gazetteer, place_filter).groupBy("term").agg(least)
     if mode == "starts_with":
-        winners = _least_by_prefix(texts, best, k)
+        winners = _least_by_prefix(texts, best, k, gazetteer.longest_term())
     else:
         # Nothing comes before the term that equals the text, so texts with one are done.
         winners = exact_pairs(texts, best).select("text", "term", "distance", "least.*")
@@ -130,13 +130,13 @@ def _least(candidates: DataFrame, key: str) -> DataFrame:
     return chosen.select(key, "w.term", "w.distance", "w.least.*")
 
 
-def _least_by_prefix(texts: DataFrame, best: DataFrame, k: int) -> DataFrame:
+def _least_by_prefix(texts: DataFrame, best: DataFrame, k: int, longest_term: int) -> DataFrame:
     """The least match of each text as a prefix.
 
     What is beyond a prefix depends on the term alone, so a prefix has a least match by itself, and
     the terms that share it, however many, are reduced before the shuffle.
     """
-    candidates = with_prefixes(best, prefix_lengths(texts), k)
+    candidates = with_prefixes(best, prefix_lengths(texts, longest_term), k)
     keyed = candidates.withColumn("text", F.substring("term", F.lit(1), F.col("plen")))
     return _least(keyed, "text").join(texts, "text", "left_semi")
 
