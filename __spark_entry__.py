@@ -344,7 +344,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_conjunction": _search(starts_with, "small", **small),
         "find_word": _word_search(find, "la"),
         "starts_with_word": _word_search(starts_with, "él", 4),
-        "fuzzy_word": _word_search(fuzzy, "éàt"),
+        "fuzzy_word": _word_search(fuzzy, "ét"),
         "levenshtein_word": _word_search(levenshtein, "the", 1),
         "regex_word": _word_search(regex, WORD_PATTERN),
         "tag_find_all": _tag("find", "all"),

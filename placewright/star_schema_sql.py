@@ -118,7 +118,7 @@ def _edits(k: int) -> tuple[str, str]:
     return near, "levenshtein(text, term)"
 
 
-# Words of documents. Accented letters become control characters for DuckDB's bytewise distance.
+# Words of documents.
 _WORDS = r"""
 listed AS (
   SELECT doc_id, lang, unnest(regexp_split_to_array(text, '\s+')) AS name,
@@ -143,6 +143,13 @@ SELECT term AS name, type, id, lang AS country_code, {"distance, " if distance e
 FROM hits"""
 
 
+def _one_byte(text: str) -> str:
+    """Accented letters as control characters, one byte each, for a distance that counts bytes."""
+    letters = "éèêàçùÉÈÊÀÇÙ"
+    controls = " || ".join(f"chr({i})" for i in range(1, len(letters) + 1))
+    return f"translate({text}, '{letters}', {controls})"
+
+
 _WORD_ORDER = "ord, id, term, pos, slot"
 _ONE_EDIT = ["the", "he", "te", "th", "_he", "t_e", "th_", "_the", "t_he", "th_e", "the_"]
 _THE = " OR ".join(f"term LIKE '{pattern}'" for pattern in _ONE_EDIT)
@@ -253,6 +260,11 @@ SELECT id AS p_partkey, CAST(levenshtein('{NAME}', name) AS INTEGER) AS distance
     "starts_with_word": _word_search(
         "starts_with(term, 'él') AND length(term) <= 6", "CAST(length(term) - 2 AS INTEGER)", f"distance, {_WORD_ORDER}"
     ),
+    "fuzzy_word": _word_search(
+        "regexp_matches(hex(encode(term)), '^(..)*C3(..)*A9(..)*74(..)*$')",
+        f"CAST(levenshtein({_one_byte("'ét'")}, {_one_byte('term')}) AS INTEGER)",
+        f"distance, {_WORD_ORDER}",
+    ),
     "levenshtein_word": _word_search(
         _THE, "CAST(CASE WHEN term = 'the' THEN 0 ELSE 1 END AS INTEGER)", f"distance, {_WORD_ORDER}"
     ),
