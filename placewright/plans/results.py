@@ -9,8 +9,9 @@ from placewright.operators.ranking import with_rank
 from placewright.scratch import written
 from placewright.schema import KEY_FIELDS, PLACE_FIELDS, SEQ_FIELDS
 
-# Results are numbered in runs of this many ids, and within an id by this many characters of the term.
-IDS_PER_CHUNK = 1 << 12
+# Results are numbered in runs of ids that differ in this many low bits only, and within an id by this
+# many characters of the term.
+ID_CHUNK_BITS = 12
 BEGINNING = 8
 
 
@@ -41,7 +42,7 @@ def chunk_levels(order: list[str]) -> list[list[Column]]:
         return [[F.col(f"seq.{name}") for name in SEQ_FIELDS[:3]]]
     leading = [F.col(name) for name in order[: order.index("id")]]
     beginning = F.substring("term", 1, BEGINNING)
-    return [[*leading, F.floor(F.col("id") / IDS_PER_CHUNK)], [F.col("id"), beginning]]
+    return [[*leading, F.shiftright("id", ID_CHUNK_BITS)], [F.col("id"), beginning]]
 
 
 def ranked(matches: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -52,7 +52,12 @@ def tag(
     if selection not in ("first", "all"):
         raise ValueError(f"unknown selection {selection!r}, expected first or all")
     k = limit(DEFAULT_MAX_DIST[mode] if max_dist is None else max_dist)
-    texts = mentions.select("text").filter(F.col("text").isNotNull()).distinct()
+    texts = mentions.select("text").filter(F.col("text").isNotNull())
+    if mode != "find":
+        # Whatever is longer than all terms has no match; it would have many keys.
+        longest = gazetteer.longest_term() + (k if mode == "levenshtein" else 0)
+        texts = texts.filter(F.length("text") <= longest)
+    texts = texts.distinct()
     if selection == "first":
         matches = _first(texts, gazetteer, mode, k, place_filter)
     else:
@@ -76,7 +81,7 @@ def _pairs(texts: DataFrame, dictionary: DataFrame, gazetteer: Gazetteer, mode:
         return levenshtein_pairs(texts, dictionary, k, gazetteer.longest_term() if k else None)
     if k:
         return capped_subsequence_pairs(texts, dictionary, k, gazetteer.longest_term())
-    return subsequence_pairs(texts, dictionary, gazetteer.longest_term())
+    return subsequence_pairs(texts, dictionary)
 
 
 def _repeats(mode: str, k: int) -> bool:
@@ -118,7 +123,9 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
         # Nothing comes before the term that equals the text, so texts with one are done.
         winners = exact_pairs(texts, best).select("text", "term", "distance", "least.*")
         if mode == "fuzzy" or (mode == "levenshtein" and k):
-            rest = texts.join(best.select("term"), F.col("text") == F.col("term"), "left_anti")
+            # Not an anti join: it would be pushed below the distinct, down to all mentions.
+            equal = texts.join(best.select("term"), F.col("text") == F.col("term"), "left")
+            rest = equal.filter(F.col("term").isNull()).select("text")
             near = _pairs(rest, best.select("term"), gazetteer, mode, k).join(best, "term")
             winners = winners.unionByName(_least(near, "text"))
     return with_entry(winners, gazetteer.places)
@@ -138,7 +145,8 @@ def _least_by_prefix(texts: DataFrame, best: DataFrame, k: int, longest_term: in
     """
     candidates = with_prefixes(best, prefix_lengths(texts, longest_term), k)
     keyed = candidates.withColumn("text", F.substring("term", F.lit(1), F.col("plen")))
-    return _least(keyed, "text").join(texts, "text", "left_semi")
+    # Not a semi join: it would be pushed below the aggregate, down to all prefixes.
+    return _least(keyed, "text").join(texts, "text")
 
 
 def _rest(order: list[str]) -> list[str]:

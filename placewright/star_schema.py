@@ -35,7 +35,7 @@ def _positioned(df: DataFrame, columns: list[str], given: dict, at: str) -> Data
 def raw_places(spark: SparkSession, sf_dir: str, rows_per_id: int = 1) -> DataFrame:
     """Main rows; with more than one row per id, later rows overwrite earlier ones."""
     given = {
-        "id": F.floor(F.col("p_partkey") / rows_per_id),
+        "id": F.expr(f"p_partkey div {rows_per_id}"),
         "name": part_name(),
         "ascii_name": F.when(F.col("p_partkey") % 3 == 0, F.replace(part_name(), F.lit("e"), F.lit("a"))).otherwise(
             part_name()
