@@ -20,6 +20,8 @@ from placewright.scratch import written
 MAX_DELETION_KEYS = 2048
 # Terms per segment key, and terms per task on a byte-pair key, beyond which the key counts as hot.
 HOT_KEY_TERMS = 4096
+# Different bytes in a term up to which it gets triples, of which there may be the third power.
+MAX_TRIPLE_BYTES = 48
 # Keys, of some bytes each, that are broadcast after they have been counted.
 MAX_BROADCAST_KEYS = 1_000_000
 # Bits of a deletion key that hold the number of deletions, cut off at the largest value they can hold.
@@ -309,34 +311,41 @@ def _with_bytes(strings: DataFrame, name: str) -> DataFrame:
     return split.withColumn("mask", mask)
 
 
-def _after(chars: Column, i: Column) -> Column:
-    return F.slice(chars, i + 2, F.size(chars))
+def _after(chars: Column, char: Column) -> Column:
+    """What follows the first occurrence of a byte."""
+    return F.slice(chars, F.array_position(chars, char).cast("int") + 1, F.size(chars))
+
+
+def _pairs_of(chars: Column) -> Column:
+    """The distinct pairs of bytes that occur in this order.
+
+    Whatever follows a byte at all follows its first occurrence. So the work and the result grow with
+    the number of different bytes, and not with the square of the length.
+    """
+    return F.flatten(
+        F.transform(
+            F.array_distinct(chars),
+            lambda a: F.transform(F.array_distinct(_after(chars, a)), lambda b: F.concat(a, b)),
+        )
+    )
 
 
 def _grams(chars: Column) -> Column:
-    """All pairs of bytes that occur in this order, all bytes, and the empty gram."""
-    pairs = F.transform(chars, lambda a, i: F.transform(_after(chars, i), lambda b: F.concat(a, b)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), chars, F.flatten(pairs)))
+    """The pairs of bytes that occur in this order, the bytes, and the empty gram."""
+    return F.concat(F.array(F.lit("")), F.array_distinct(chars), _pairs_of(chars))
 
 
 def _triples(chars: Column) -> Column:
-    """All triples of bytes that occur in this order."""
+    """The distinct triples of bytes that occur in this order."""
 
-    def starting_with(a: Column, i: Column) -> Column:
+    def starting_with(a: Column) -> Column:
         # The array of one binds what follows to a name, to cut it off once.
-        return F.flatten(
-            F.transform(
-                F.array(_after(chars, i)),
-                lambda rest: F.flatten(
-                    F.transform(
-                        rest,
-                        lambda b, j: F.transform(_after(rest, j), lambda c: F.concat(a, b, c)),
-                    )
-                ),
-            )
+        rest = F.array(_after(chars, a))
+        return F.transform(
+            F.flatten(F.transform(rest, _pairs_of)), lambda pair: F.concat(a, pair)
         )
 
-    return F.array_distinct(F.flatten(F.transform(chars, starting_with)))
+    return F.flatten(F.transform(F.array_distinct(chars), starting_with))
 
 
 def _rarest_triple(chars: Column, byte_counts: Column) -> Column:
@@ -362,15 +371,20 @@ def subsequence_pairs(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     tables first, so that the plan for the rest follows measured sizes.
     """
     term_bytes = _with_bytes(dictionary, "term").withColumnRenamed("mask", "term_mask")
-    grams = term_bytes.select("term", "term_mask", F.explode(_grams(F.col("chars"))).alias("gram"))
+    grams = _grams_of(term_bytes)
     counts = written(grams.groupBy("gram").agg(F.count("*").alias("n_terms")))
     chosen = written(_choices(texts, counts))
     # A text of up to two bytes is in every term that has its gram, so its candidates are results.
     by_gram = (F.col("n_terms") <= HOT_KEY_TERMS) | (F.octet_length("text") <= 2)
     met = _meet_on_grams(chosen.filter(by_gram), grams)
-    n_rest = chosen.filter(~by_gram).count()
+    rest = chosen.filter(~by_gram)
+    n_rest = rest.count()
     if n_rest:
-        met = met.unionByName(_meet_on_triples(chosen.filter(~by_gram), n_rest, term_bytes, counts))
+        few_triples = F.size(F.array_distinct("chars")) <= MAX_TRIPLE_BYTES
+        by_triple = _meet_on_triples(rest, n_rest, term_bytes.filter(few_triples), counts)
+        # Terms with so many different bytes that they would have too many triples stay under pairs.
+        others = term_bytes.filter(~few_triples)
+        met = met.unionByName(by_triple).unionByName(_meet_on_grams(rest, _grams_of(others)))
     # The cheap tests first, as most pairs fail them.
     text, term = F.col("text"), F.col("term")
     contained = F.col("mask").bitwiseAND(F.bitwise_not("term_mask")) == 0
@@ -386,6 +400,10 @@ def subsequence_pairs(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     return longer.unionByName(exact_pairs(texts, dictionary))
 
 
+def _grams_of(term_bytes: DataFrame) -> DataFrame:
+    return term_bytes.select("term", "term_mask", F.explode(_grams(F.col("chars"))).alias("gram"))
+
+
 def _choices(texts: DataFrame, counts: DataFrame) -> DataFrame:
     """Each text's rarest pair of bytes and the number of terms under it, if there are any."""
     # A text of one byte has no pair and an empty one no byte: they have to take what they have.

@@ -169,6 +169,22 @@ best AS (
 SELECT reference, term AS name, type, id, distance FROM mentions JOIN best USING (text) WHERE "rank" = 1"""
 
 
+# Texts and terms at most one edit apart, by what is left after deleting one character: equal strings,
+# one string left by the other, or the same string left by both at the same place.
+_ONE_EDIT_APART = """
+  WITH short_texts AS (
+    SELECT text, i, substr(text, 1, i - 1) || substr(text, i + 1) AS rest
+    FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM texts)),
+  short_terms AS (
+    SELECT term, i, substr(term, 1, i - 1) || substr(term, i + 1) AS rest
+    FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM dictionary)),
+  near AS (
+    SELECT text, term, 0 AS d FROM texts JOIN dictionary ON text = term
+    UNION ALL SELECT text, term, 1 FROM short_texts JOIN dictionary ON rest = term
+    UNION ALL SELECT text, term, 1 FROM texts JOIN short_terms ON text = rest
+    UNION ALL SELECT text, term, 1 FROM short_texts JOIN short_terms USING (i, rest) WHERE text <> term)
+  SELECT text, term, CAST(min(d) AS INTEGER) AS distance FROM near GROUP BY text, term"""
+
 _FLAT_JSON = """'{"reference":' || reference || ',"key":{"name":"' || name || '","type":"' || type
   || '","id":' || id || coalesce(',"lang":"' || lang || '"', '') || coalesce(',"from":"' || valid_from || '"', '')
   || coalesce(',"to":"' || valid_to || '"', '') || '},"entry":{"id":' || id || ',"name":"' || entry_name
@@ -294,6 +310,7 @@ SELECT id AS p_partkey, CAST(levenshtein('{NAME}', name) AS INTEGER) AS distance
            ) ON text = prefix""",
         "met.distance, ord, id, term, pos, slot",
     ),
+    "tag_words_levenshtein_first": _tag_words(_ONE_EDIT_APART, "met.distance, ord, id, term, pos, slot"),
     "stream_tag_find": _tag(*_EXACT, "first").replace(_MENTIONS, _EVENT_MENTIONS),
     "catalogue_stats": f"""WITH {_RAW}
 SELECT (SELECT count(*) FROM main) AS n_places, (SELECT count(DISTINCT term) FROM terms) AS n_terms""",

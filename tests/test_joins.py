@@ -122,6 +122,14 @@ def test_subsequences(monkeypatch, sides, hot):
     assert sorted(found) == sorted(brute.pairs("fuzzy", text_list, term_list, 0))
 
 
+def test_triples_for_some_terms(monkeypatch, sides):
+    monkeypatch.setattr(joins, "HOT_KEY_TERMS", 3)
+    monkeypatch.setattr(joins, "MAX_TRIPLE_BYTES", 3)
+    texts, dictionary, text_list, term_list = sides
+    found = [(r.text, r.term, r.distance) for r in joins.subsequence_pairs(texts, dictionary).collect()]
+    assert sorted(found) == sorted(brute.pairs("fuzzy", text_list, term_list, 0))
+
+
 def test_triples_without_broadcast(monkeypatch, sides):
     monkeypatch.setattr(joins, "HOT_KEY_TERMS", 3)
     monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", 0)
