@@ -361,18 +361,27 @@ def _rarest_triple(chars: Column, byte_counts: Column) -> Column:
     return F.array_join(F.transform(in_order, lambda s: s["char"]), "")
 
 
-def subsequence_pairs(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+def gram_counts(dictionary: DataFrame) -> DataFrame:
+    """How many terms have each gram, as a table of bounded size that is written at once."""
+    grams = _grams_of(_with_bytes(dictionary, "term").withColumnRenamed("mask", "term_mask"))
+    return written(grams.groupBy("gram").agg(F.count("*").alias("n_terms")))
+
+
+def subsequence_pairs(
+    texts: DataFrame, dictionary: DataFrame, counts: DataFrame | None = None
+) -> DataFrame:
     """Texts that are a byte subsequence of a term, at any distance.
 
     Every two bytes of the text occur in this order in the term, so a text may look for its terms under
     any one of its byte pairs, and takes the one that the fewest terms have. Where even that pair is
     common, the text looks under three bytes instead. The counts of bytes and pairs that these choices
     need have at most 256 * 256 + 256 + 1 rows whatever the data; they and the choices are written to
-    tables first, so that the plan for the rest follows measured sizes.
+    tables first, so that the plan for the rest follows measured sizes. ``counts`` may come from a
+    larger dictionary: it guides the choices, but any choice finds all pairs.
     """
     term_bytes = _with_bytes(dictionary, "term").withColumnRenamed("mask", "term_mask")
     grams = _grams_of(term_bytes)
-    counts = written(grams.groupBy("gram").agg(F.count("*").alias("n_terms")))
+    counts = gram_counts(dictionary) if counts is None else counts
     chosen = written(_choices(texts, counts))
     # A text of up to two bytes is in every term that has its gram, so its candidates are results.
     by_gram = (F.col("n_terms") <= HOT_KEY_TERMS) | (F.octet_length("text") <= 2)

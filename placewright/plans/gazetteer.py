@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.functions.parsing import strict_id
+from placewright.operators.joins import gram_counts
 from placewright.operators.terms import alternate_pairs, main_pairs, place_records, searchable
 from placewright.schema import DEFAULT_LANGUAGES, SRC_ALTERNATE, SRC_MAIN
 from placewright.sources.dumps import scan_alternates, scan_places
@@ -20,7 +21,7 @@ class Gazetteer:
 
     places: DataFrame
     terms: DataFrame
-    _longest: list[int] = field(default_factory=list, repr=False)
+    _known: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def from_raw(
@@ -66,10 +67,16 @@ class Gazetteer:
 
     def longest_term(self) -> int:
         """Length of the longest term; one aggregation, done once per gazetteer."""
-        if not self._longest:
+        if "longest_term" not in self._known:
             row = self.terms.agg(F.max("term_len").alias("longest")).first()
-            self._longest.append(row.longest or 0)
-        return self._longest[0]
+            self._known["longest_term"] = row.longest or 0
+        return self._known["longest_term"]
+
+    def gram_counts(self) -> DataFrame:
+        """Numbers of terms under pairs of bytes, for subsequence joins; counted once per gazetteer."""
+        if "gram_counts" not in self._known:
+            self._known["gram_counts"] = gram_counts(self.terms.select("term").distinct())
+        return self._known["gram_counts"]
 
 
 def search_pairs(

@@ -81,7 +81,7 @@ def _pairs(texts: DataFrame, dictionary: DataFrame, gazetteer: Gazetteer, mode:
         return levenshtein_pairs(texts, dictionary, k, gazetteer.longest_term() if k else None)
     if k:
         return capped_subsequence_pairs(texts, dictionary, k, gazetteer.longest_term())
-    return subsequence_pairs(texts, dictionary)
+    return subsequence_pairs(texts, dictionary, gazetteer.gram_counts())
 
 
 def _repeats(mode: str, k: int) -> bool:
