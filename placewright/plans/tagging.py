@@ -64,6 +64,7 @@ def tag(
         matches = _all(texts, gazetteer, mode, k, place_filter)
         if rank:
             matches = ranked(matches, ["text"], order_columns(mode == "find", True))
+    matches = with_entry(matches, gazetteer.places)
     columns = ["text", key_struct(F.col("term")), "entry", "distance"]
     if rank:
         columns.append(F.lit(1).cast("long").alias("rank") if selection == "first" else F.col("rank"))
@@ -103,7 +104,7 @@ def _all(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filter
     else:
         pairs = _pairs(texts, postings.select("term").distinct(), gazetteer, mode, k)
         matches = (once(pairs) if _repeats(mode, k) else pairs).join(postings, "term")
-    return with_entry(matches, gazetteer.places)
+    return matches
 
 
 def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filter: dict) -> DataFrame:
@@ -128,7 +129,7 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
             rest = equal.filter(F.col("term").isNull()).select("text")
             near = _pairs(rest, best.select("term"), gazetteer, mode, k).join(best, "term")
             winners = winners.unionByName(_least(near, "text"))
-    return with_entry(winners, gazetteer.places)
+    return winners
 
 
 def _least(candidates: DataFrame, key: str) -> DataFrame:

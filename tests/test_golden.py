@@ -6,6 +6,7 @@ import pytest
 
 from placewright import Gazetteer, find, fuzzy, levenshtein, regex, starts_with, tag
 from placewright.operators.terms import posting_lists
+from placewright.plans import results
 from placewright.plans.gazetteer import load_counters, search_pairs
 from placewright.plans.reports import catalogue_stats
 from placewright.sources.dumps import scan_alternates, scan_places
@@ -14,10 +15,10 @@ from tests.fixtures import TERMS
 SEARCHES = {"find": find, "starts_with": starts_with, "fuzzy": fuzzy, "levenshtein": levenshtein, "regex": regex}
 
 
-def rows(results):
+def rows(found):
     return [
         (r.key.name, r.key.type, r.key.id, *([r.distance] if "distance" in r else []))
-        for r in results.collect()
+        for r in found.collect()
     ]
 
 
@@ -60,7 +61,9 @@ FELDBERG = [
         ("regex", {"pattern": "berg", "feature_class": "P"}, []),
     ],
 )
-def test_search(gazetteer, mode, arguments, expected):
+@pytest.mark.parametrize("window_rows", [0, 1000], ids=["in pieces", "at once"])
+def test_search(monkeypatch, gazetteer, mode, arguments, expected, window_rows):
+    monkeypatch.setattr(results, "WINDOW_ROWS", window_rows)
     assert rows(SEARCHES[mode](gazetteer, **arguments)) == expected
     by_rank = SEARCHES[mode](gazetteer, **arguments, rank=True).orderBy("rank")
     assert rows(by_rank) == expected

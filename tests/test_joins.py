@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placewright import Gazetteer, tag
 from placewright.operators import joins
+from placewright.plans import results
 from placewright.schema import MAIN_COLUMNS, MATCH_TYPES
 from tests import brute
 
@@ -81,7 +82,9 @@ def test_first(case, mode, k):
     assert rows(tag(table, gazetteer, mode, "first", k, feature_class="T")) == few
 
 
-def test_rank(case):
+@pytest.mark.parametrize("window_rows", [0, 1000], ids=["in pieces", "at once"])
+def test_rank(monkeypatch, case, window_rows):
+    monkeypatch.setattr(results, "WINDOW_ROWS", window_rows)
     gazetteer, table, _, _ = case
     every = tag(table, gazetteer, "levenshtein", "all", 1, rank=True)
     first = tag(table, gazetteer, "levenshtein", "first", 1)
