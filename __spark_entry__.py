@@ -25,6 +25,19 @@ from placewright.sources.mentions import read_mentions
 from placewright.sources.results import as_json
 from placewright.star_schema_sql import ORACLES
 
+try:  # the only place that allows for the subpackage and its pipeline to be missing
+    import placewright.llm.queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("placewright.llm", "placewright.llm.queries"):
+        raise
+    llm = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline":
+        raise
+    corpus_pipeline = None
+
 NAME = "small ring ECONOMY Brand#2"
 LANGUAGES = ["building", "machinery", "automobile"]
 DATA_DATE = "2024-01-01"
@@ -369,9 +382,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_counters": _load_counters,
         "provenance": _provenance,
         "result_json": _result_json,
+        **(llm.queries() if llm else {}),
+        **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same queries as SQL on the same tables."""
-    return dict(ORACLES)
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {}
+    return {**ORACLES, **(llm.oracle_sql() if llm else {}), **pipeline}
