@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.llm.chats import format_chats
+from placewright.llm.fingerprints import fingerprint_documents
 from placewright.llm.line_dedup import dedup_lines
 from placewright.llm.mixing import mix
 from placewright.llm.oracles import ORACLES
+from placewright.llm.pieces import encode
 from placewright.llm.tables import read
 
 
@@ -20,10 +22,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *[F.col(a).alias(b) for a, b in names.items()])
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
 
@@ -31,7 +41,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op5_document_fingerprints": op5_document_fingerprints,
         "op8_mixing": op8_mixing,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
