@@ -66,4 +66,17 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, n_copies, rendered FROM whole
 WHERE prefix NOT IN (SELECT prefix FROM lasts WHERE NOT is_last)
 """
 
-ORACLES = {"op8_mixing": MIXING, "op10_chat_formatting": CHATS}
+TOP_K = r"""
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op2_top_k_search": TOP_K, "op8_mixing": MIXING, "op10_chat_formatting": CHATS}

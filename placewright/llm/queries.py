@@ -13,7 +13,9 @@ from placewright.llm.line_dedup import dedup_lines
 from placewright.llm.mixing import mix
 from placewright.llm.oracles import ORACLES
 from placewright.llm.pieces import encode
+from placewright.llm.pivots import top_k
 from placewright.llm.tables import read
+from placewright.llm.toxicity import score_documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *[F.col(a).alias(b) for a, b in names.items()])
 
 
+def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -41,6 +51,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_top_k_search": op2_top_k_search,
+        "op3_toxicity": op3_toxicity,
         "op5_document_fingerprints": op5_document_fingerprints,
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
