@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewright.llm.tables import shipped
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Fixed value: what an unknown character costs below the lowest score.
@@ -258,10 +260,10 @@ STEP = 1 << 21
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id``, ``ids`` (of the pieces), ``n_pieces``, and ``intact``: whether decoding gives the text back."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Pieces(read_model(spark, model)))
+    shared = shipped(spark, Pieces(read_model(spark, model)))
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
+        pieces = shared()
         for batch in given:
             texts = batch.column("text").to_pylist()
             sizes = np.cumsum([len(t) for t in texts])

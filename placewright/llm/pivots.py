@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewright.llm.tables import shipped
+
 SCALE, K, EVERY = 1024, 10, 100
 PIVOTS, SAMPLE = 24, 256
 #: Queries in a block that is sent to the candidates, and candidates bounded at once.
@@ -140,7 +142,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, query_block: int =
         once = np.unique(sample_ids, return_index=True)[1]
         for asked in _blocks(queries, width, query_block):
             block = QueryBlock(asked["vec_id"].to_numpy(np.int64), matrix(asked["v"], width), sample_ids[once], sample[once], k)
-            passes.append(same.mapInPandas(_search(spark.sparkContext.broadcast(block), width), RESULT))
+            passes.append(same.mapInPandas(_search(shipped(spark, block), width), RESULT))
     if not passes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = reduce(DataFrame.union, passes)
@@ -151,10 +153,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, query_block: int =
 
 def _search(shared, width: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = shared()
         for batch in batches:
             for start in range(0, len(batch), CANDIDATE_BLOCK):
                 part = batch.iloc[start : start + CANDIDATE_BLOCK]
-                found = shared.value.best_of(part["vec_id"].to_numpy(np.int64), matrix(part["v"], width))
+                found = block.best_of(part["vec_id"].to_numpy(np.int64), matrix(part["v"], width))
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     return search

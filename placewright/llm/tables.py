@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +26,15 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array, without empty ones."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def like(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """``changed`` with the columns of ``docs``, in order and with the same types."""
     return changed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+
+
+def shipped(spark: SparkSession, value) -> Callable[[], Any]:
+    """A broadcast of any Python object, with the code of its class: call the result in a task to get it."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)

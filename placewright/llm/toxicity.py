@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placewright.llm.tables import shipped
+
 TRAINING_ROWS = 20_000
 TERMS = 400
 #: Lengths of word beginnings that are terms beside the words themselves.
@@ -140,7 +142,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
     return posterior, rates, weights
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 20) -> np.ndarray:
     """Newton steps for a ridge logistic regression on soft labels; the last weight is the constant."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weights = np.zeros(x.shape[1])
@@ -209,10 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = shipped(docs.sparkSession, fit(docs, labels))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [model.score(t) for t in batch["text"]]})
 
@@ -223,11 +225,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; texts are not shuffled."""
-    model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, fit(docs, labels))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts])
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared()
+        for texts in batches:
+            yield pd.Series([model.score(t) for t in texts], dtype="float64")
 
     return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
