@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placewright.llm.chats import format_chats
 from placewright.llm.fingerprints import fingerprint_documents
+from placewright.llm.jaccard_join import join_documents
 from placewright.llm.line_dedup import dedup_lines
 from placewright.llm.mixing import mix
 from placewright.llm.oracles import ORACLES
@@ -36,6 +37,10 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_top_k_search": op2_top_k_search,
         "op3_toxicity": op3_toxicity,
         "op5_document_fingerprints": op5_document_fingerprints,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_chat_formatting": op10_chat_formatting,
