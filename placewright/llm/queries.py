@@ -15,6 +15,7 @@ from placewright.llm.mixing import mix
 from placewright.llm.oracles import ORACLES
 from placewright.llm.pieces import encode
 from placewright.llm.pivots import top_k
+from placewright.llm.suffix_dedup import cut
 from placewright.llm.tables import read
 from placewright.llm.toxicity import score_documents
 
@@ -33,6 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_top_k_search": op2_top_k_search,
         "op3_toxicity": op3_toxicity,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_document_fingerprints": op5_document_fingerprints,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_mixing": op8_mixing,
