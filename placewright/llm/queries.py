@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewright.llm.chaining import passages
 from placewright.llm.chats import format_chats
 from placewright.llm.fingerprints import fingerprint_documents
 from placewright.llm.jaccard_join import join_documents
@@ -42,6 +43,10 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(read(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_document_fingerprints": op5_document_fingerprints,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
