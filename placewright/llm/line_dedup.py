@@ -7,8 +7,8 @@ replaced word, so that near-equal lines are at least 0.8 alike. The earliest lin
 1. Equal lines become one row by a partial aggregate over two 64-bit hashes.
 2. Two lines within one edit share either the front or the back half of the shorter one. Lines that
    share neither half with another line are done; this loses no pair.
-3. The rest emits all its variants with one word deleted as hashed keys. Prefix and suffix hashes come
-   from running XORs over the words, so a line costs its length, not its square.
+3. The rest emits all its variants with one word deleted as hashed keys. They come from running XORs
+   over the words, so a line costs its length, not its square.
 4. A key's earliest line comes from an aggregate, and every line meets that one only, never all lines
    of the key: lines with the same deleted place are all within one edit of it. What meets is verified
    word by word.
@@ -20,28 +20,28 @@ empty table gives an empty result. All of it are DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.tables import like, words
+from placewright.llm.tables import WORD, like, words
 from placewright.scratch import written
 
 #: Below it one edit is more than a fifth of a line.
 MIN_WORDS = 5
-#: Ids of candidate lines are broadcast up to this number (16 bytes each), and shuffled beyond it.
-BROADCAST_LINES = 2_000_000
+#: Tables of ids and hashes are broadcast up to this number of rows (some 32 bytes each); beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Words whose hashes are chained in one piece.
+CHAIN = 256
+#: What ids that are null are taken for.
+LEAST_ID = -(1 << 63)
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """One row per line: ``doc_id``, ``part`` (which of several rows with that id), ``line_no``, ``line``."""
+    """One row per line with words: ``doc_id``, ``part`` (which of several rows with that id), ``line_no``, ``line``."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"))
-    part = F.xxhash64("text").alias("part")
-    return rows.select("doc_id", part, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def _hash(salt: int, value: Column) -> Column:
-    return F.xxhash64(F.lit(salt), value)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), text.alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("part"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.where(F.col("line").rlike(WORD))
 
 
 def _half_keys(tokens: Column, n: Column) -> Column:
@@ -54,37 +54,74 @@ def _half_keys(tokens: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, written; to be broadcast if it has few enough rows."""
+    table = written(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines with words by hash, and one row for each class of equal lines with its earliest line."""
-    tokens = _exploded(docs).withColumn("words", words(F.col("line"))).withColumn("n", F.size("words"))
-    tokens = tokens.where("n > 0").withColumn("h1", _hash(11, F.col("words"))).withColumn("h2", _hash(12, F.col("words")))
-    keys = F.when(F.col("n") >= MIN_WORDS, _half_keys(F.col("words"), F.col("n")))
-    tokens = tokens.withColumn("keys", keys)
-    place = F.struct("doc_id", "part", "line_no")
-    lines = written(tokens.select("doc_id", "part", "line_no", "h1", "h2", *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(4)]))
-    classes = lines.groupBy("h1", "h2", "k0", "k1", "k2", "k3").agg(F.min(place).alias("place"))
-    return lines, written(classes)
+    """All lines with words by hash, and a row for each class of equal lines with its earliest line.
+
+    The ids ``lid`` of the classes are in the order of their earliest lines.
+    """
+    tokens = _exploded(docs).withColumn("words", words(F.col("line")))
+    line, n = F.array_join("words", " "), F.size("words")
+    keys = F.when(n >= MIN_WORDS, _half_keys(F.col("words"), n))
+    tokens = tokens.select("doc_id", "part", "line_no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), keys.alias("keys"))
+    lines = written(tokens)
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "part", "line_no")).alias("place"), F.first("keys").alias("keys"))
+    classes = classes.select("place.*", "h1", "h2", "keys").repartitionByRange("doc_id", "part", "line_no")
+    classes = classes.sortWithinPartitions("doc_id", "part", "line_no").withColumn("lid", F.monotonically_increasing_id())
+    return lines.drop("keys"), written(classes)
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Places of the classes that share a half with another class."""
-    keyed = classes.where("k0 is not null").select("place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    """The classes that share a half with another class: ``lid`` and the place of the line."""
+    keyed = classes.where("keys is not null").select("lid", "doc_id", "part", "line_no", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keyed.join(shared, "key").select("place.*").distinct()
+    return keyed.join(_small(shared), "key").select("lid", "doc_id", "part", "line_no").distinct()
+
+
+def _running_xor(values: Column) -> Column:
+    """For each place of an array the XOR of what is before it, in pieces so that long arrays stay linear."""
+
+    def appended(chain: Column, value: Column) -> Column:
+        return F.concat(chain, F.array(F.element_at(chain, -1).bitwiseXOR(value)))
+
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(CHAIN))
+    nothing = F.array(F.lit(0).cast("long"))
+    pieces = F.transform(starts, lambda s: F.aggregate(F.slice(values, s, F.lit(CHAIN)), nothing, appended))
+    before = F.aggregate(pieces, nothing, lambda chain, piece: appended(chain, F.element_at(piece, -1)))
+    shifted = F.zip_with(
+        pieces,
+        F.slice(before, F.lit(1), F.size(pieces)),
+        lambda piece, b: F.transform(F.slice(piece, F.lit(1), F.size(piece) - 1), lambda x: x.bitwiseXOR(b)),
+    )
+    return F.flatten(shifted)
+
+
+def _xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Lines with the hashes of their words at their own places, and one place further to the front."""
+    here = F.transform("words", lambda w, i: F.xxhash64(w, i))
+    there = F.transform("words", lambda w, i: F.xxhash64(w, i - 1))
+    return lines.select("lid", F.size("words").alias("n"), here.alias("here"), there.alias("there"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """A row for each word of each line: the hash of the line without it, and the hash of the line."""
-    row = lines.select("place", "n", F.posexplode("words").alias("at", "word"))
-    here, there = F.xxhash64("word", "at"), F.xxhash64("word", F.col("at") - 1)
-    line = Window.partitionBy("place")
-    before = line.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    until = line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    row = row.select("place", "n", "at", here.alias("here"), there.alias("there"))
-    back = F.bit_xor("there").over(line).bitwiseXOR(F.bit_xor("there").over(until))
-    without = F.coalesce(F.bit_xor("here").over(before), F.lit(0)).bitwiseXOR(back)
-    whole = F.when(F.col("at") == 0, F.bit_xor("here").over(line))
-    return row.select("place", "n", "at", without.alias("without"), whole.alias("whole"))
+    """A row for each word of each line: ``without``, the hash of the line without that word, and its place ``at``."""
+    hashed = _hashed(lines)
+    front, back = _running_xor(F.col("here")), _running_xor(F.col("there"))
+    hashed = hashed.select("lid", "n", "there", front.alias("front"), back.alias("back"), _xor(F.col("there")).alias("all"))
+    behind = F.zip_with("back", "there", lambda b, t: b.bitwiseXOR(t))
+    without = F.zip_with("front", behind, lambda f, b: f.bitwiseXOR(b))
+    return hashed.select("lid", "n", "all", F.posexplode(without).alias("at", "x")).select(
+        "lid", "n", "at", F.col("x").bitwiseXOR(F.col("all")).alias("without")
+    )
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -103,36 +140,31 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Places of the lines (one of each class) that repeat an earlier one up to an edit."""
-    candidates = written(_candidates(classes))
-    if candidates.count() <= BROADCAST_LINES:
-        candidates = F.broadcast(candidates)
-    place = F.struct("doc_id", "part", "line_no")
-    lines = _exploded(docs).join(candidates, ["doc_id", "part", "line_no"], "left_semi").select(place.alias("place"), words(F.col("line")).alias("words"))
+    """``lid`` of the classes that repeat an earlier line up to an edit."""
+    place = ["doc_id", "part", "line_no"]
+    lines = _exploded(docs).join(_small(_candidates(classes)), place).select("lid", words(F.col("line")).alias("words"))
     # equal rows of the table hold the same line at the same place
-    lines = written(lines.dropDuplicates(["place"]).withColumn("n", F.size("words")))
-    variants = written(_variants(lines))
-    first = variants.groupBy("without", "n", "at").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
-    first = written(first)
-    replaced = variants.join(first.where("lines > 1").drop("lines"), ["without", "n", "at"]).select("place", "first")
-    whole = variants.where("at = 0").select(F.col("whole").alias("without"), (F.col("n") + 1).alias("n"), F.col("place").alias("short"))
-    longer = first.groupBy("without", "n").agg(F.min("first").alias("first")).join(whole, ["without", "n"])
-    deleted = longer.select(F.col("short").alias("place"), "first")
-    inserted = variants.join(whole, ["without", "n"]).select("place", F.col("short").alias("first"))
-    pairs = replaced.union(deleted).union(inserted).where("first < place").distinct()
-    left = lines.select("place", F.col("words").alias("a"))
-    right = lines.select(F.col("place").alias("first"), F.col("words").alias("b"))
-    pairs = pairs.join(left, "place").join(right, "first").where(_within_one_edit(F.col("a"), F.col("b")))
-    return pairs.select("place").distinct()
+    lines = written(lines.dropDuplicates(["lid"]))
+    variants = _variants(lines)
+    first = variants.groupBy("without", "n", "at").agg(F.min("lid").alias("other"), F.count("*").alias("lines"))
+    replaced = variants.join(_small(first.where("lines > 1").drop("lines")), ["without", "n", "at"]).select("lid", "other")
+    whole = _hashed(lines).select(_xor(F.col("here")).alias("without"), (F.col("n") + 1).alias("n"), F.col("lid").alias("other"))
+    inserted = variants.join(_small(whole), ["without", "n"]).select("lid", "other")
+    pairs = replaced.union(inserted).where("lid <> other")
+    pairs = pairs.select(F.greatest("lid", "other").alias("lid"), F.least("lid", "other").alias("other")).distinct()
+    left = lines.withColumnRenamed("words", "a")
+    right = lines.select(F.col("lid").alias("other"), F.col("words").alias("b"))
+    pairs = pairs.join(left, "lid").join(right, "other").where(_within_one_edit(F.col("a"), F.col("b")))
+    return pairs.select("lid").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``part``, ``line_no`` and ``near`` (else equal) of all lines that go."""
     lines, classes = line_classes(docs)
     near = near_lines(docs, classes).withColumn("near", F.lit(True))
-    classes = classes.join(near, "place", "left").select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near"))
-    lines = lines.join(classes, ["h1", "h2"])
     place = F.struct("doc_id", "part", "line_no")
+    classes = classes.join(near, "lid", "left").select("h1", "h2", place.alias("place"), F.coalesce("near", F.lit(False)).alias("near"))
+    lines = lines.join(classes, ["h1", "h2"])
     return lines.where((place != F.col("place")) | F.col("near")).select("doc_id", "part", "line_no", "near")
 
 
@@ -142,7 +174,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = gone.groupBy(F.col("doc_id").alias("_doc_id"), F.col("part").alias("_part"))
     gone = gone.agg(F.collect_list("line_no").alias("_gone"), F.sum(F.col("near").cast("long")).alias("_near"))
     text = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
     joined = docs.join(gone, (key == F.col("_doc_id")) & (F.xxhash64(text) == F.col("_part")), "left")
     split = F.split(text, "\n")
     numbers = F.coalesce("_gone", F.array().cast("array<int>"))
