@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.components import components
-from placewright.llm.tables import like, shipped
+from placewright.llm.tables import packed, shipped, unpacked
 from placewright.scratch import written
 
 SHINGLE, PERCENT = 4, 85
@@ -162,8 +162,8 @@ def summaries(rows: DataFrame, frequent) -> DataFrame:
 def _stars(rows: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
     """Edges of vertices to the leader of those with the same ``key``, where they link."""
     keyed = vertices.select("vertex", F.col(key).alias("key"), "copies")
-    leaders = keyed.groupBy("key").agg(F.max(F.struct("copies", -F.col("vertex"))).alias("m"), F.count("*").alias("size"))
-    leaders = leaders.where("size > 1").select("key", (-F.col("m.col2")).alias("leader"))
+    leaders = keyed.groupBy("key").agg(F.max(F.struct("copies", F.bitwise_not("vertex").alias("least"))).alias("m"), F.count("*").alias("size"))
+    leaders = leaders.where("size > 1").select("key", F.bitwise_not("m.least").alias("leader"))
     wanted = _small(keyed.join(leaders, "key").select(F.col("vertex").alias("doc_id"), "key", "leader"))
     members = rows.join(wanted, "doc_id")
     first = members.where("doc_id = leader").select("key", F.col("text").alias("leading")).dropDuplicates(["key"])
@@ -296,5 +296,6 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, or have no set; texts are shuffled once at most."""
-    found = join_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return like(docs, docs.join(_small(found), F.col("doc_id") == F.col("_gone"), "left_anti"))
+    # rows of one doc_id are in one component, so ids tell which rows go
+    found = join_documents(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    return unpacked(docs, packed(docs).join(_small(found), F.col("doc_id") == F.col("gone"), "left_anti"))

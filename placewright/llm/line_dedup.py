@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.tables import WORD, like, words
+from placewright.llm.tables import WORD, packed, unpacked, words
 from placewright.scratch import written
 
 #: Below it one edit is more than a fifth of a line.
@@ -169,28 +169,31 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut to the lines that stay, ``n_lines``, ``n_equal`` and ``n_near`` removed."""
-    gone = removed_lines(docs).distinct()
-    gone = gone.groupBy(F.col("doc_id").alias("_doc_id"), F.col("part").alias("_part"))
-    gone = gone.agg(F.collect_list("line_no").alias("_gone"), F.sum(F.col("near").cast("long")).alias("_near"))
+    """For every row of ``docs`` (as a struct ``row``): ``doc_id``, the ``text`` that stays, and ``n_lines``, ``n_equal``, ``n_near``.
+
+    The last two count the lines that went.
+    """
+    gone = removed_lines(docs).distinct().groupBy(F.col("doc_id").alias("id"), "part")
+    gone = gone.agg(F.collect_list("line_no").alias("gone"), F.sum(F.col("near").cast("long")).alias("n_near"))
     text = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
-    joined = docs.join(gone, (key == F.col("_doc_id")) & (F.xxhash64(text) == F.col("_part")), "left")
+    same = (F.coalesce("doc_id", F.lit(LEAST_ID)) == F.col("id")) & (F.xxhash64(text) == F.col("part"))
+    joined = packed(docs).join(gone, same, "left")
     split = F.split(text, "\n")
-    numbers = F.coalesce("_gone", F.array().cast("array<int>"))
+    numbers = F.coalesce("gone", F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), numbers)
-    kept = F.transform(stay, lambda i: F.get(split, i))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    n_lines, n_gone = F.size(split), F.size(numbers)
     return joined.select(
-        *[F.col(f"`{c}`") if c != "text" else F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("text") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("_n_lines"),
-        (F.size(numbers) - F.coalesce("_near", F.lit(0))).cast("long").alias("_n_equal"),
-        F.coalesce("_near", F.lit(0)).cast("long").alias("_n_near"),
+        "row",
+        "doc_id",
+        F.when(F.col("text").isNotNull(), kept).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        (n_gone - F.coalesce("n_near", F.lit(0))).cast("long").alias("n_equal"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """``docs`` with its lines deduplicated, ``n_chars`` counted anew; no document is dropped."""
     done = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text"))
-    return like(docs, done)
+    return unpacked(docs, done, text=F.col("text"), n_chars=F.length("text"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewright.llm.tables import WORD, like
+from placewright.llm.tables import WORD, packed, unpacked
 from placewright.scratch import written
 
 WEIGHTS = (5, 2, 1)
@@ -79,9 +79,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` for every row of ``docs``."""
+    return _taken(docs, block, shard_words, seed).drop("part")
+
+
+def _taken(docs: DataFrame, block: int, shard_words: int, seed: str) -> DataFrame:
+    """The result of ``mix`` with ``part``, a hash of the text, which tells rows of one id apart."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), digest.alias("digest")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "source",
+        word_count(F.col("text")).alias("size"),
+        digest.alias("digest"),
+        F.xxhash64("text").alias("part"),
     )
     sizes = written(sizes)
     sources = source_targets(sizes).withColumn("house", F.floor(F.col("asked") / block + 0.5))
@@ -106,18 +115,18 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
     rounds = F.when(F.col("words") > 0, F.floor(F.col("wanted") / F.col("words"))).otherwise(0)
     rest = F.col("wanted") - rounds * F.col("words") - F.col("before")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return chosen.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return chosen.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "part")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
     """The documents of the mix with all columns of ``docs``: one row for each time a document is taken.
 
-    A document that the end of a quota cuts is taken if at least half of its words are.
+    A document that the end of a quota cuts is taken if at least half of its words are; rows equal in id and
+    text are each taken as often as they are on average.
     """
-    chosen = mix(docs, **options).where("taken > 0")
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    # repeated ids are rows of their own in the mix: each id is repeated by the mean of its rows
-    chosen = chosen.groupBy("doc_id").agg(F.floor(F.avg(times) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    chosen = chosen.withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_doc_id")))
-    return like(docs, joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))
+    chosen = _taken(docs, block, shard_words, seed).where("taken > 0")
+    times = F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int")
+    chosen = chosen.groupBy(F.col("doc_id").alias("chosen_id"), "part").agg(times.alias("times")).where("times > 0")
+    rows = packed(docs)
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.xxhash64("text") == F.col("part")))
+    return unpacked(docs, rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from placewright.llm.chaining import passages
 from placewright.llm.chats import format_chats
@@ -22,9 +21,7 @@ from placewright.llm.toxicity import score_documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(read(spark, sf_dir, "documents"))
-    names = {"_n_lines": "n_lines", "_n_equal": "n_equal", "_n_near": "n_near"}
-    return done.select("doc_id", "text", *[F.col(a).alias(b) for a, b in names.items()])
+    return dedup_lines(read(spark, sf_dir, "documents")).drop("row")
 
 
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

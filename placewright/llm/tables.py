@@ -29,9 +29,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def like(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``changed`` with the columns of ``docs``, in order and with the same types."""
-    return changed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` in one struct ``row``, so that none can clash; beside it ``doc_id`` and ``text``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+
+
+def unpacked(docs: DataFrame, rows: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``row``, in order and with their types; some of them changed."""
+    given = {f.name: changed.get(f.name, F.col("row").getField(f.name)).cast(f.dataType) for f in docs.schema.fields}
+    return rows.select(*[column.alias(name) for name, column in given.items()])
 
 
 def shipped(spark: SparkSession, value) -> Callable[[], Any]:
