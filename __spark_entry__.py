@@ -56,6 +56,11 @@ def _gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
     return Gazetteer.from_raw(star.raw_places(spark, sf_dir), star.raw_alternates(spark, sf_dir), None)
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> Gazetteer:
+    """The gazetteer as it is meant to be used: built and saved once, then read."""
+    return _gazetteer(spark, sf_dir).save(scratch_dir(spark))
+
+
 def _flat(results: DataFrame) -> DataFrame:
     """Results with scalar columns, as SQL engines compare them."""
     extra = [name for name in ("reference", "distance", "rank") if name in results.columns]
@@ -77,24 +82,26 @@ def _flat(results: DataFrame) -> DataFrame:
     )
 
 
-def _search(function, *arguments, **options):
+def _search(function, *arguments, gazetteer=_gazetteer, rank=True, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _flat(function(_gazetteer(spark, sf_dir), *arguments, rank=True, **options))
+        return _flat(function(gazetteer(spark, sf_dir), *arguments, rank=rank, **options))
 
     return query
 
 
-def _tag(mode: str, selection: str, **options):
+def _tag(mode: str, selection: str, gazetteer=_gazetteer, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         mentions = star.order_mentions(spark, sf_dir)
-        return _flat(tag(mentions, _gazetteer(spark, sf_dir), mode, selection, **options))
+        return _flat(tag(mentions, gazetteer(spark, sf_dir), mode, selection, **options))
 
     return query
 
 
-def _dump(raw: DataFrame, columns: list[str], compression: str = "none") -> str:
-    """Write raw rows as a dump directory with a header line per file."""
+def _dump(raw: DataFrame, columns: list[str], compression: str = "none", n_files: int | None = None) -> str:
+    """Write raw rows as a dump directory with a header line per file, in order if a number of files is given."""
     path = scratch_dir(raw.sparkSession)
+    if n_files:
+        raw = raw.repartitionByRange(n_files, "row").sortWithinPartitions("row")
     writer = raw.select(*columns).write.options(sep="\t", header=True, escape='"', compression=compression)
     writer.csv(path)
     return path
@@ -153,6 +160,13 @@ def _multi_path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_places(spark, paths).select("id", "name", "ascii_name")
 
 
+def _files_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that come from the order of rows in several files."""
+    path = _dump(star.raw_places(spark, sf_dir), MAIN_COLUMNS, n_files=5)
+    terms = Gazetteer.build(spark, path).terms
+    return posting_lists(terms).select("term", "position", "type", "id")
+
+
 def _compressed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [
         _dump(star.raw_places(spark, sf_dir), MAIN_COLUMNS, "gzip"),
@@ -295,17 +309,21 @@ def _distance_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "part").select("p_partkey", distance.alias("distance"))
 
 
-def _stream_tag_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream_tag(mode: str):
     """Events as a stream of mentions, tagged until the table is used up, and read back.
 
     The glob is there because a file stream does not take the path of a single file.
     """
-    schema = star.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-    mentions = star.event_mentions(events, star.table(spark, sf_dir, "part"))
-    path, checkpoint = scratch_dir(spark), scratch_dir(spark)
-    tag_stream(mentions, _gazetteer(spark, sf_dir), path, checkpoint, mode="find").awaitTermination()
-    return _flat(spark.read.parquet(path))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schema = star.table(spark, sf_dir, "events").schema
+        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+        mentions = star.event_mentions(events, star.table(spark, sf_dir, "part"))
+        path, checkpoint = scratch_dir(spark), scratch_dir(spark)
+        tag_stream(mentions, _saved(spark, sf_dir), path, checkpoint, mode=mode).awaitTermination()
+        return _flat(spark.read.parquet(path))
+
+    return query
 
 
 def _catalogue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +361,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "places_last_wins": _places_last_wins,
         "posting_lists": _posting_lists,
         "mention_source": _mention_source,
+        "files_posting_lists": _files_posting_lists,
         "find": _search(find, NAME),
+        "find_in_order": _search(find, NAME, rank=False),
         "starts_with": _search(starts_with, "small ring"),
         "starts_with_capped": _search(starts_with, "small ring ECONOMY Brand#", 1),
         "fuzzy": _search(fuzzy, "smrngB#2"),
@@ -377,7 +397,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tag_words_starts_with_first": _tag_words("starts_with", "first"),
         "tag_words_levenshtein_first": _tag_words("levenshtein", "first"),
         "tag_words_fuzzy_first": _tag_words("fuzzy", "first"),
-        "stream_tag_find": _stream_tag_find,
+        "saved_find": _search(find, NAME, gazetteer=_saved),
+        "saved_starts_with": _search(starts_with, "small ring", gazetteer=_saved),
+        "saved_tag_find_first": _tag("find", "first", gazetteer=_saved),
+        "saved_tag_levenshtein_first": _tag("levenshtein", "first", gazetteer=_saved),
+        "stream_tag_find": _stream_tag("find"),
+        "stream_tag_starts_with": _stream_tag("starts_with"),
+        "stream_tag_levenshtein": _stream_tag("levenshtein"),
         "catalogue_stats": _catalogue_stats,
         "load_counters": _load_counters,
         "provenance": _provenance,

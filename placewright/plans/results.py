@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.operators.ranking import with_rank
@@ -12,8 +12,6 @@ from placewright.schema import KEY_FIELDS, PLACE_FIELDS, SEQ_FIELDS
 # Results are numbered in runs of ids that differ in this many low bits only, and within an id by this
 # many characters of the term.
 ID_CHUNK_BITS = 12
-# Rows that one task numbers at most; larger results are cut into pieces.
-WINDOW_ROWS = 500_000
 BEGINNING = 8
 
 
@@ -50,12 +48,9 @@ def chunk_levels(order: list[str]) -> list[list[Column]]:
 def ranked(matches: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Add the position of each match in the result list of its group.
 
-    The matches are written to a table first, which is read once to measure the largest group and then
-    to number it: by a plain window if that is small, else in pieces.
+    The matches are written to a table first, which is read twice: to count the pieces that the result is
+    numbered in, and to number them.
     """
     table = written(matches)
     columns = [F.col(name) for name in order]
-    largest = table.groupBy(*group).count().agg(F.max("count").alias("n")).first().n or 0
-    if largest <= WINDOW_ROWS:
-        return table.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*columns)).cast("long"))
     return with_rank(table, [F.col(name) for name in group], chunk_levels(order), columns)

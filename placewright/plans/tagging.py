@@ -22,6 +22,7 @@ from placewright.operators.joins import (
 from placewright.plans.gazetteer import Gazetteer
 from placewright.plans.results import key_struct, order_columns, ranked, with_entry
 from placewright.plans.search import limit
+from placewright.scratch import written
 
 MODES = ("find", "starts_with", "fuzzy", "levenshtein")
 DEFAULT_MAX_DIST = {"find": 0, "starts_with": 0, "fuzzy": 0, "levenshtein": 1}
@@ -43,9 +44,9 @@ def tag(
     ``selection`` keeps the first match of each mention in the order of the single lookups, or all of
     them. Mentions without a match leave no row. ``rank`` adds the position in the mention's results.
 
-    The result is lazy, but two forms run jobs and write tables below ``spark.checkpoint.dir`` first:
-    ``rank`` over all results, which reads the matches twice, and ``fuzzy`` without a limit, which
-    counts byte pairs to choose its join keys.
+    The result is lazy, but some forms run jobs and write tables below ``spark.checkpoint.dir`` first:
+    ``rank`` over all results, which reads the matches twice; ``fuzzy`` without a limit, which counts byte
+    pairs to choose its join keys; and similarity modes with ``first``, which reduce the terms once.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {', '.join(MODES)}")
@@ -117,18 +118,22 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
     """
     order = order_columns(mode == "find", False)
     least = F.min(F.struct(*[name for name in order if name != "term"], *_rest(order))).alias("least")
-    best = _postings(gazetteer, place_filter).groupBy("term").agg(least)
+    postings = _postings(gazetteer, place_filter)
+    if mode == "find" or (mode == "levenshtein" and k == 0):
+        # terms that no text asks for are gone before they are reduced
+        asked = postings.join(texts, F.col("term") == F.col("text"), "left_semi")
+        return exact_pairs(texts, asked.groupBy("term").agg(least)).select("text", "term", "distance", "least.*")
+    best = postings.groupBy("term").agg(least)
     if mode == "starts_with":
         winners = _least_by_prefix(texts, best, k, gazetteer.longest_term())
     else:
+        # Both sides are read several times, so they are made once.
+        best, texts = written(best), written(texts)
         # Nothing comes before the term that equals the text, so texts with one are done.
         winners = exact_pairs(texts, best).select("text", "term", "distance", "least.*")
-        if mode == "fuzzy" or (mode == "levenshtein" and k):
-            # Not an anti join: it would be pushed below the distinct, down to all mentions.
-            equal = texts.join(best.select("term"), F.col("text") == F.col("term"), "left")
-            rest = equal.filter(F.col("term").isNull()).select("text")
-            near = _pairs(rest, best.select("term"), gazetteer, mode, k).join(best, "term")
-            winners = winners.unionByName(_least(near, "text"))
+        rest = written(texts.join(best, F.col("text") == F.col("term"), "left_anti"))
+        near = _pairs(rest, best.select("term"), gazetteer, mode, k).join(best, "term")
+        winners = winners.unionByName(_least(near, "text"))
     return winners
 
 

@@ -37,8 +37,10 @@ ALTERNATE_COLUMNS = [
     "to",
 ]
 
-# What a column holds when a file is too narrow to have it. Columns that are absent
-# from this table and from the file make the load fail (or are not read at all).
+# Columns that a file has to have.
+REQUIRED_COLUMNS = ["id", "name", "ascii_name", "lang", "preferred", "short", "colloquial", "historic"]
+
+# What a column holds when a file is too narrow to have it. Others are not read at all.
 MAIN_DEFAULTS = {
     "latitude": "",
     "longitude": "",

@@ -27,17 +27,35 @@ from placewright.schema import (
     MAIN_COLUMNS,
     MAIN_DEFAULTS,
     POSITION_FIELDS,
+    REQUIRED_COLUMNS,
 )
 
 _LINES_PER_BATCH = 20_000
 
 
 def list_files(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
-    """Expand files and directories (one level, sorted) into a list of files, in order."""
+    """Expand files and directories (one level, sorted) into a list of files, in order.
+
+    Folders within a directory are not looked at. Spark's readers take no files whose names begin with an
+    underscore or a dot, so these are refused rather than left out, unless they are empty.
+    """
+    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
     files: list[str] = []
     for path in [paths] if isinstance(paths, str) else paths:
-        members = spark.read.format("binaryFile").load(path).inputFiles()
-        files.extend(sorted(unquote(member) for member in members))
+        given = jvm.org.apache.hadoop.fs.Path(path)
+        system = given.getFileSystem(configuration)
+        if system.exists(given):
+            members = list(system.listStatus(given))
+        else:
+            members = list(system.globStatus(given) or [])
+            if not members:
+                raise FileNotFoundError(path)
+        for member in sorted((m for m in members if m.isFile()), key=lambda m: m.getPath().toString()):
+            file = member.getPath().toString()
+            if member.getPath().getName()[0] not in "_.":
+                files.append(file)
+            elif member.getLen():
+                raise ValueError(f"{file}: names that begin with an underscore or a dot cannot be read")
     return files
 
 
@@ -65,10 +83,11 @@ def scan_dump(
     """Tab-separated files or directories of files as one bag of rows.
 
     The first record of *each* file is dropped unless ``header`` is off. All rows of a file must have
-    the same number of columns; the number may differ between files and is read from the first record
-    of each file (one small read per file) unless ``width`` gives it. Columns that a file lacks take
-    their default. ``txt``, extension-less, ``gz``, ``bz2`` and ``xz`` files are read; ``zip`` files
-    are refused. A file that is given twice is read twice.
+    the same number of columns; the number may differ between files and is read from the first lines of
+    all files in one job unless ``width`` gives it. Columns that a file lacks take their default; a file
+    that lacks one without a default is refused, even where no row would use it. ``txt``, extension-less, ``gz``, ``bz2`` and
+    ``xz`` files are read; ``zip`` files are refused, and so is ``multi_line`` for ``xz``. A file that
+    is given twice is read twice.
     """
     files = list_files(spark, paths)
     if not files:
@@ -76,12 +95,21 @@ def scan_dump(
     options = {"sep": "\t", "quote": quote, "escape": '"' if quote else "", "mode": "FAILFAST"}
     # One scan per (reader, width), not per file, so that the plan does not grow with the input.
     groups: dict[tuple[bool, int], list[tuple[int, str]]] = defaultdict(list)
-    widths: dict[str, int] = {}
+    is_xz_file = {file: _check_extension(file) == "xz" for file in dict.fromkeys(files)}
+    if multi_line and any(is_xz_file.values()):
+        raise ValueError("xz files are read line by line: multi_line is not supported for them")
+    widths = dict.fromkeys(files, width) if width else _widths(spark, is_xz_file, options)
+    required = max(i for i, name in enumerate(columns) if name not in defaults and name in REQUIRED_COLUMNS) + 1
     for file_no, file in enumerate(files):
-        is_xz = _check_extension(file) == "xz"
-        if file not in widths:
-            widths[file] = width or _width(spark, file, is_xz, options)
-        groups[is_xz, widths[file]].append((file_no, file))
+        n_columns = widths.get(file)
+        if n_columns is None:  # an empty file
+            continue
+        if n_columns < required:
+            raise ValueError(f"{file}: {n_columns} columns, at least {required} are needed")
+        groups[is_xz_file[file], n_columns].append((file_no, file))
+    if not groups:
+        names = ", ".join(f"`{name}` string" for name in columns)
+        return spark.createDataFrame([], f"{names}, file_no int, block long, row long")
     scans = []
     for (is_xz, n_columns), numbered in groups.items():
         names = [*columns, *(f"_extra{i}" for i in range(n_columns))][:n_columns]
@@ -145,14 +173,34 @@ def _join_form_column(file: Column, encoded: bool) -> Column:
     return F.regexp_replace(file, "^file:/+", "file:/")
 
 
-def _width(spark: SparkSession, file: str, is_xz: bool, options: dict) -> int:
-    if not is_xz:
-        return len(spark.read.options(**options).csv(file).columns)
-    first = _xz_lines(spark, [file]).filter("row = 0").select("line").first()
-    if first is None:
-        return 1
-    quoting = {"quotechar": options["quote"]} if options["quote"] else {"quoting": csv.QUOTE_NONE}
-    return len(next(csv.reader([first.line], delimiter=options["sep"], **quoting)))
+def _widths(spark: SparkSession, is_xz_file: dict[str, bool], options: dict) -> dict[str, int]:
+    """Number of columns in the first record of each file that has one; one job per reader, whatever the number of files.
+
+    A line per file comes to the driver, which holds the names of the files anyway.
+    """
+    quote = options["quote"]
+    quoting = {"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}
+    heads: dict[str, str] = {}
+    for is_xz in (False, True):
+        files = [file for file, xz in is_xz_file.items() if xz == is_xz]
+        if not files:
+            continue
+        if is_xz:
+            lines = _xz_lines(spark, files).select("file", F.col("row").alias("at"), F.col("line").alias("value"))
+        else:
+            lines = spark.read.text(files).where("_metadata.file_block_start = 0 and value <> ''")
+            lines = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+        first = lines.groupBy("file").agg(F.min_by("value", "at").alias("value"))
+        found = {r.file if is_xz else unquote(r.file): r.value for r in first.toLocalIterator()}
+        found = {_join_form(file): value for file, value in found.items()}
+        heads.update({file: found[_join_form(file)] for file in files if _join_form(file) in found})
+    widths = {}
+    for file, line in heads.items():
+        if quote and line.count(quote) % 2:  # the first record goes on in the next line
+            widths[file] = len(spark.read.options(**options, multiLine=True).csv(file).columns)
+        else:
+            widths[file] = len(next(csv.reader([line], delimiter=options["sep"], **quoting)))
+    return widths
 
 
 def _scan_xz(

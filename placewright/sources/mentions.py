@@ -23,6 +23,11 @@ def read_mention_stream(spark: SparkSession, path: str) -> DataFrame:
     return as_mentions(spark.readStream.schema(MENTION_SCHEMA).json(path))
 
 
+#: References are unsigned 32-bit numbers.
+LARGEST_REFERENCE = (1 << 32) - 1
+
+
 def _reference(value: Column) -> Column:
     problem = F.concat(F.lit("not a reference number: "), F.coalesce(value.cast("string"), F.lit("<null>")))
-    return F.coalesce(value.try_cast("long"), F.raise_error(problem).cast("long"))
+    number = value.try_cast("long")
+    return F.when(number.between(0, LARGEST_REFERENCE), number).otherwise(F.raise_error(problem).cast("long"))

@@ -13,8 +13,8 @@ _COORDINATES = ("latitude", "longitude")
 def as_json(results: DataFrame) -> DataFrame:
     """One JSON record per result in a column ``json``.
 
-    Absent parts of the key and an unknown elevation are left out; unknown coordinates (NaN) are
-    written as ``null``, which takes a variant null, since a SQL null would be left out as well.
+    Absent parts of the key and an unknown elevation are left out; coordinates that are no finite number
+    are written as ``null``, which takes a variant null, since a SQL null would be left out as well.
     """
     fields = [F.col("key")] if "reference" not in results.columns else [F.col("reference"), F.col("key")]
     fields.append(F.struct(*[_entry_field(name) for name in PLACE_FIELDS]).alias("entry"))
@@ -28,7 +28,8 @@ def _entry_field(name: str) -> Column:
     if name not in _COORDINATES:
         return value.alias(name)
     json_null = F.parse_json(F.lit("null"))
-    return F.when(F.isnan(value), json_null).otherwise(value.cast("variant")).alias(name)
+    no_number = F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(no_number, json_null).otherwise(value.cast("variant")).alias(name)
 
 
 def write_results(results: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists"):

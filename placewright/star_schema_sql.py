@@ -244,8 +244,15 @@ FROM main GROUP BY id // 4""",
     "posting_lists": f"""WITH {_RAW}
 SELECT term, row_number() OVER (PARTITION BY term ORDER BY src, rowno, slot) AS position, type, id, lang
 FROM terms""",
+    "files_posting_lists": f"""WITH {_RAW}
+SELECT term, row_number() OVER (PARTITION BY term ORDER BY rowno, slot) AS position, type, id FROM terms WHERE src = 0""",
     "mention_source": f"WITH {_MENTIONS} SELECT reference, text FROM mentions",
     "find": _search(f"t.term = '{NAME}'", None, "src, rowno, slot"),
+    "find_in_order": _search(f"t.term = '{NAME}'", None, "src, rowno, slot").replace(
+        'row_number() OVER (ORDER BY src, rowno, slot) AS "rank", ', ""
+    ),
+    "saved_find": _search(f"t.term = '{NAME}'", None, "src, rowno, slot"),
+    "saved_starts_with": _starts("small ring"),
     "starts_with": _starts("small ring"),
     "starts_with_capped": _starts("small ring ECONOMY Brand#", cap=1),
     "fuzzy": _search("t.term LIKE '%s%m%r%n%g%B%#%2%'", _LENGTH_GAP.format(8), _BY_DISTANCE),
@@ -311,6 +318,10 @@ SELECT id AS p_partkey, CAST(levenshtein('{NAME}', name) AS INTEGER) AS distance
         "met.distance, ord, id, term, pos, slot",
     ),
     "tag_words_levenshtein_first": _tag_words(_ONE_EDIT_APART, "met.distance, ord, id, term, pos, slot"),
+    "saved_tag_find_first": _tag(*_EXACT, "first"),
+    "saved_tag_levenshtein_first": _tag(*_edits(1), "first"),
+    "stream_tag_starts_with": _tag(*_PREFIX, "first").replace(_MENTIONS, _EVENT_MENTIONS),
+    "stream_tag_levenshtein": _tag(*_edits(1), "first").replace(_MENTIONS, _EVENT_MENTIONS),
     "stream_tag_find": _tag(*_EXACT, "first").replace(_MENTIONS, _EVENT_MENTIONS),
     "catalogue_stats": f"""WITH {_RAW}
 SELECT (SELECT count(*) FROM main) AS n_places, (SELECT count(DISTINCT term) FROM terms) AS n_terms""",

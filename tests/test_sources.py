@@ -97,6 +97,77 @@ def test_narrow_files_take_defaults(spark, tmp_path):
     assert {(r["from"], r["to"]) for r in alternates.collect()} == {("", "")}
 
 
+@pytest.mark.parametrize("width", range(1, 8))
+def test_files_without_required_columns_fail(spark, tmp_path, width):
+    narrow = ["\t".join(line.split("\t")[:width]) for line in alternate_lines()]
+    path = write_lines(tmp_path / "alternates.txt", narrow)
+    with pytest.raises(ValueError, match="at least 8"):
+        scan_alternates(spark, path)
+    if width < 3:
+        with pytest.raises(ValueError, match="at least 3"):
+            scan_places(spark, path)
+
+
+def test_empty_files_have_no_rows(spark, tmp_path):
+    empty = write_lines(tmp_path / "empty.txt", [])
+    assert scan_places(spark, empty).count() == 0
+    both = scan_places(spark, [empty, write_lines(tmp_path / "places.txt", main_lines())])
+    assert [n for _, n in names(both)] == EXPECTED
+
+
+def test_directories_are_one_level(spark, tmp_path):
+    (tmp_path / "d" / "k=1").mkdir(parents=True)
+    (tmp_path / "d" / "more").mkdir()
+    write_lines(tmp_path / "d" / "k=1" / "a.txt", main_lines())
+    write_lines(tmp_path / "d" / "more" / "b.txt", main_lines())
+    write_lines(tmp_path / "d" / "c.txt", main_lines())
+    assert [n for _, n in names(scan_places(spark, str(tmp_path / "d")))] == EXPECTED
+    for name in ("_hidden.txt", ".hidden.txt"):
+        path = write_lines(tmp_path / name, main_lines())
+        with pytest.raises(ValueError, match="underscore or a dot"):
+            scan_places(spark, path)
+    with pytest.raises(FileNotFoundError):
+        scan_places(spark, str(tmp_path / "nothing"))
+
+
+def test_multi_line_is_refused_for_xz(spark, tmp_path):
+    path = tmp_path / "places.xz"
+    with lzma.open(path, "wt", encoding="utf-8") as out:
+        out.write("\n".join([*main_lines(), ""]))
+    with pytest.raises(ValueError, match="multi_line"):
+        scan_places(spark, str(path), multi_line=True)
+
+
+def test_widths_take_jobs_by_reader_not_by_file(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for i in range(30):
+        write_lines(tmp_path / "many" / f"p{i:02d}.txt", main_lines())
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("widths", "")
+    try:
+        scan = scan_places(spark, str(tmp_path / "many"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("widths")) < 8
+    assert scan.count() == 30 * len(EXPECTED)
+
+
+def test_coordinates_that_are_no_numbers(spark):
+    schema = "key struct<name: string>, entry struct<id: long, name: string, latitude: float, longitude: float, feature_class: string, feature_code: string, country_code: string, adm1: string, adm2: string, adm3: string, adm4: string, elevation: short>"
+    numbers = [math.inf, -math.inf, math.nan, 1.5]
+    rows = [(("n",), (1, "n", x, 2.0, *[""] * 7, None)) for x in numbers]
+    found = [json.loads(r.json)["entry"]["latitude"] for r in as_json(spark.createDataFrame(rows, schema)).collect()]
+    assert found == [None, None, None, 1.5]
+
+
+@pytest.mark.parametrize("reference", ["-5", "4294967296", "x", None])
+def test_references_are_unsigned_32_bit(spark, reference):
+    good = as_mentions(spark.createDataFrame([("4294967295", "t")], "reference string, text string")).first()
+    assert good.reference == 4294967295
+    with pytest.raises(Exception, match="not a reference number"):
+        as_mentions(spark.createDataFrame([(reference, "t")], "reference string, text string")).collect()
+
+
 @pytest.mark.parametrize("bad", ["105\tshort row", main_line(("106", "x", "x", *[""] * 6)) + "\textra"])
 @pytest.mark.parametrize("extension", ["txt", "xz"])
 def test_unequal_rows_fail(spark, tmp_path, bad, extension):
