@@ -37,9 +37,9 @@ from placewright.scratch import written
 LENGTH, GRAM = 50, 20
 #: Offsets at which a window can hold its anchor.
 OFFSETS = LENGTH - GRAM + 1
-HOT = 1_000
+HOT = 20_000
 #: Occurrences that are sorted together, and bytes of text worked through at once.
-CHUNK, BUFFER = 20_000, 1 << 21
+CHUNK, BUFFER = 20_000, 1 << 17
 #: Tables of hashes are broadcast up to this number of rows (some 24 bytes each), and shuffled beyond it.
 BROADCAST_ROWS = 4_000_000
 LEAST_ID = -(1 << 63)
@@ -67,15 +67,12 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
 
 def least_places(hashes: np.ndarray, window: int = OFFSETS) -> np.ndarray:
     """Where the least (leftmost) of ``window`` hashes from each place on is."""
-    places, length = np.arange(len(hashes)), 1
-    while 2 * length <= window:
-        a, b = places[:-length], places[length:]
-        places = np.where(hashes[a] <= hashes[b], a, b)
-        length *= 2
-    rest = window - length
-    if rest:
-        a, b = places[:-rest], places[rest:]
-        places = np.where(hashes[a] <= hashes[b], a, b)
+    places, values, length = np.arange(len(hashes), dtype=np.int32), hashes, 1
+    while length < window:
+        step = min(length, window - length)
+        places = np.where(values[:-step] <= values[step:], places[:-step], places[step:])
+        values = np.minimum(values[:-step], values[step:])
+        length += step
     return places
 
 
@@ -266,12 +263,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     few = found.where(F.col("n_times") <= HOT).select(names).repartition("anchor").sortWithinPartitions("anchor")
     marked = few.mapInArrow(_mark, "doc_id long, part long, first long, last long")
 
+    whole = copies.select("doc_id", "part", F.lit(0).cast("long").alias("first"), (F.col("n") - LENGTH).cast("long").alias("last"))
+    marked = marked.union(whole)
+    if shared.where(F.col("n_times") > HOT).isEmpty():
+        return marked
     hot = found.where(F.col("n_times") > HOT).select(names).mapInArrow(_windows, "doc_id long, part long, first long, w1 long, w2 long")
     hot = written(hot)
     least = hot.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     again = hot.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "part", "first", F.col("first").alias("last"))
-    whole = copies.select("doc_id", "part", F.lit(0).cast("long").alias("first"), (F.col("n") - LENGTH).cast("long").alias("last"))
-    return marked.union(again).union(whole)
+    return marked.union(again)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
