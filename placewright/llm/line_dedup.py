@@ -145,7 +145,7 @@ def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     lines = _exploded(docs).join(_small(_candidates(classes)), place).select("lid", words(F.col("line")).alias("words"))
     # equal rows of the table hold the same line at the same place
     lines = written(lines.dropDuplicates(["lid"]))
-    variants = _variants(lines)
+    variants = written(_variants(lines))
     first = variants.groupBy("without", "n", "at").agg(F.min("lid").alias("other"), F.count("*").alias("lines"))
     replaced = variants.join(_small(first.where("lines > 1").drop("lines")), ["without", "n", "at"]).select("lid", "other")
     whole = _hashed(lines).select(_xor(F.col("here")).alias("without"), (F.col("n") + 1).alias("n"), F.col("lid").alias("other"))
@@ -179,14 +179,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     same = (F.coalesce("doc_id", F.lit(LEAST_ID)) == F.col("id")) & (F.xxhash64(text) == F.col("part"))
     joined = packed(docs).join(gone, same, "left")
     split = F.split(text, "\n")
-    numbers = F.coalesce("gone", F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), numbers)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
-    n_lines, n_gone = F.size(split), F.size(numbers)
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     return joined.select(
         "row",
         "doc_id",
-        F.when(F.col("text").isNotNull(), kept).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
         (n_gone - F.coalesce("n_near", F.lit(0))).cast("long").alias("n_equal"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
