@@ -31,7 +31,7 @@ MIN_WORDS = 5
 #: Tables of ids and hashes are broadcast up to this number of rows (some 32 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Words whose hashes are chained in one piece.
-CHAIN = 256
+CHAIN = 32
 #: What ids that are null are taken for.
 LEAST_ID = -(1 << 63)
 

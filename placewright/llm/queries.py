@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placewright.llm.chaining import passages
 from placewright.llm.chats import format_chats
@@ -21,7 +22,9 @@ from placewright.llm.toxicity import score_documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents")).drop("row")
+    """The texts that stay, as a digest."""
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_equal", "n_near", kept)
 
 
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
+OTHER_SPACE = r"[\x09-\x0D]"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,9 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array, without empty ones."""
-    return F.array_remove(F.split(text, SPACE), "")
+    # splitting at one plain character needs no regular expression, and few texts hold another white space
+    plain = F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def packed(docs: DataFrame) -> DataFrame:
