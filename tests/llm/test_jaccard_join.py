@@ -42,10 +42,12 @@ def found(docs):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in join_documents(docs).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed, broadcast", [(1, 10**6), (2, 0)])
-def test_against_brute_force(spark, monkeypatch, seed, broadcast):
+@pytest.mark.parametrize("seed, broadcast, large", [(1, 10**6, 32), (2, 0, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, broadcast, large):
     monkeypatch.setattr(jaccard_join, "SAMPLE_ROWS", 50)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 5)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", broadcast)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
