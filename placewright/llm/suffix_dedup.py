@@ -37,7 +37,8 @@ from placewright.scratch import written
 LENGTH, GRAM = 50, 20
 #: Offsets at which a window can hold its anchor.
 OFFSETS = LENGTH - GRAM + 1
-HOT = 20_000
+#: Occurrences of one anchor that a task sorts together: some 70 bytes each, and 300 more while they are sorted.
+HOT = 100_000
 #: Occurrences that are sorted together, and bytes of text worked through at once.
 CHUNK, BUFFER = 20_000, 1 << 17
 #: Tables of hashes are broadcast up to this number of rows (some 24 bytes each), and shuffled beyond it.
