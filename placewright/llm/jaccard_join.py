@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds its distinct shingles of ``SHINGLE`` lower-cased words (of all words, if fewer).
-Two documents link when their sets are at least ``PERCENT`` % alike; ``components`` of links are returned.
+A document's set holds its distinct shingles of ``shingle`` lower-cased words (of all words, if fewer; ``SHINGLE`` by default).
+Two documents link when their sets are at least ``percent`` % alike (``PERCENT`` by default); ``components`` of links are returned.
 
 1. Equal sets are one vertex, from an aggregate over 128-bit hashes of sets.
 2. Similar vertices are compared with one leader, the set with most copies, among those with the same least shingle (in a
@@ -9,7 +9,7 @@ Two documents link when their sets are at least ``PERCENT`` % alike; ``component
    members are not compared with each other.
 3. Similar vertices are partitioned into groups: a large component is one, others are those with the same two least shingles.
    The token-group matrix has a row for each shingle of a prefix and each group that holds it in a
-   member's prefix. If two sets link, their prefixes (the first ``n - ceil(0.85 n) + l`` shingles in
+   member's prefix. If two sets link, their prefixes (the first ``n - ceil(n * percent / 100) + l`` shingles in
    one global order, rare ones first) share at least ``l``, so groups whose rows share fewer are
    not opened. Only pairs of groups are counted, however many members they have.
 4. Groups that qualify are opened block by block (members of about ``BLOCK`` shingles): a set whose overlap with the token union of
@@ -115,13 +115,13 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def frequent_shingles(rows: DataFrame) -> np.ndarray:
+def frequent_shingles(rows: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Hashes that several documents of a bounded sample share, most frequent first, at most ``FREQUENT``."""
     step = max(1, -(-rows.count() // SAMPLE_ROWS))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Shingles()
+        make = Shingles(size)
         for batch in batches:
             sets = list(make.sets(batch["text"].tolist()))
             yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)})
@@ -131,11 +131,11 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def summaries(rows: DataFrame) -> DataFrame:
+def summaries(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     """For every row: ``n`` shingles, hashes ``s1``, ``s2`` of the set, and its least shingles in two random orders."""
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles()
+        make = Shingles(size)
         for batch in batches:
             n, s1, s2, k1, k2 = [], [], [], [], []
             for shingles in make.sets(batch.column("text").to_pylist()):
@@ -152,7 +152,7 @@ def summaries(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(summarised, "doc_id long, n long, s1 long, s2 long, k1 long, k2 long")
 
 
-def _stars(rows: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+def _stars(rows: DataFrame, vertices: DataFrame, key: str, size: int, percent: int) -> DataFrame:
     """Edges of vertices to the leader of those with the same ``key``, where they link."""
     keyed = vertices.select("vertex", F.col(key).alias("key"), "copies")
     leaders = keyed.groupBy("key").agg(F.max(F.struct("copies", F.bitwise_not("vertex").alias("least"))).alias("m"), F.count("*").alias("size"))
@@ -163,14 +163,14 @@ def _stars(rows: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
     pairs = members.where("doc_id <> leader").join(first, "key").select("doc_id", "leader", "text", "leading")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, lead, last, leading = Shingles(), Shingles(), None, None
+        make, lead, last, leading = Shingles(size), Shingles(size), None, None
         for batch in batches:
             links = []
             leaders, texts = batch.column("leader").to_pylist(), batch.column("text").to_pylist()
             for row, (leader, own) in enumerate(zip(leaders, make.sets(texts), strict=True)):
                 if leader != last:
                     last, leading = leader, next(lead.sets([batch.column("leading")[row].as_py()]))
-                links.append(linked(own, leading))
+                links.append(linked(own, leading, percent))
             kept = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(kept), batch.column("leader").filter(kept)], names=["a", "b"])
 
@@ -204,19 +204,19 @@ def _partitioned(vertices: DataFrame) -> DataFrame:
 MATRIX = "token long, group long, least int, most int"
 
 
-def _matrix(rows: DataFrame, partitioned: DataFrame, frequent) -> DataFrame:
+def _matrix(rows: DataFrame, partitioned: DataFrame, frequent, size: int, percent: int) -> DataFrame:
     """The token-group matrix: ``token`` and ``group`` for the prefixes of all vertices, and the sizes in the group."""
     # vertices that are a group of their own are not looked up
     grouped = partitioned.where("members > 1").select(F.col("vertex").alias("doc_id"), "group", "g_least", "g_most")
     rows = rows.join(_small(grouped), "doc_id", "left").select(F.coalesce("group", "doc_id").alias("group"), "g_least", "g_most", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, often = Shingles(), frequent()
+        make, often = Shingles(size), frequent()
         for batch in batches:
             prefixes, n = [], []
             for shingles in make.sets(batch.column("text").to_pylist()):
                 n.append(len(shingles))
-                length = prefix_length(n[-1])
+                length = prefix_length(n[-1], percent)
                 place = places(shingles, often)
                 prefixes.append(np.partition(place, length - 1)[:length] if length < n[-1] else place)
             lengths = [len(p) for p in prefixes]
@@ -229,11 +229,11 @@ def _matrix(rows: DataFrame, partitioned: DataFrame, frequent) -> DataFrame:
     return rows.mapInArrow(tokens, MATRIX)
 
 
-def qualifying_groups(matrix: DataFrame, partitioned: DataFrame) -> DataFrame:
+def qualifying_groups(matrix: DataFrame, partitioned: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs ``a`` and ``b`` of groups whose rows of the matrix share enough tokens, and groups to compare within."""
     matrix = matrix.distinct()
     other = matrix.select("token", F.col("group").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    alike = (100 * F.col("most") >= PERCENT * F.col("least2")) & (100 * F.col("most2") >= PERCENT * F.col("least"))
+    alike = (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
     pairs = matrix.join(other, "token").where((F.col("group") < F.col("other")) & alike)
     pairs = pairs.groupBy("group", "other").agg(F.count("*").alias("both"), F.min(F.least("least", "least2")).alias("n"))
     pairs = pairs.where(F.col("both") >= F.greatest(F.lit(1), F.floor(ASKED * F.col("n")))).select(F.col("group").alias("a"), F.col("other").alias("b"))
@@ -256,30 +256,30 @@ class Forest:
         self.above[self.root(x)] = self.root(y)
 
 
-def _links(block: list, union: np.ndarray, least: int, partners: list) -> Iterator[tuple[int, int]]:
+def _links(block: list, union: np.ndarray, least: int, partners: list, percent: int) -> Iterator[tuple[int, int]]:
     """Links between members (vertex, component so far, set) of a block and others that join two components."""
     forest = Forest()
     for vertex, known, own in partners:
         # what a member of the block would have to share with this set
-        needed = PERCENT * (len(own) + max(least, -(-PERCENT * len(own) // 100))) / (100 + PERCENT)
+        needed = percent * (len(own) + max(least, -(-percent * len(own) // 100))) / (100 + percent)
         if np.isin(own, union, assume_unique=True).sum() < needed:
             continue
         for other, other_known, other_set in block:
-            if forest.root(known) != forest.root(other_known) and linked(own, other_set):
+            if forest.root(known) != forest.root(other_known) and linked(own, other_set, percent):
                 forest.join(known, other_known)
                 yield vertex, other
 
 
-def _links_within(block: list) -> Iterator[tuple[int, int]]:
+def _links_within(block: list, percent: int) -> Iterator[tuple[int, int]]:
     forest = Forest()
     for i, (vertex, known, own) in enumerate(block):
         for other, other_known, other_set in block[:i]:
-            if forest.root(known) != forest.root(other_known) and linked(own, other_set):
+            if forest.root(known) != forest.root(other_known) and linked(own, other_set, percent):
                 forest.join(known, other_known)
                 yield vertex, other
 
 
-def opened(rows: DataFrame, partitioned: DataFrame, pairs: DataFrame) -> DataFrame:
+def opened(rows: DataFrame, partitioned: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Edges between vertices of the groups of ``pairs`` that link and were not in one component.
 
     A block of the larger group is opened once for up to ``PARTNERS`` blocks of others, which stream past it.
@@ -313,7 +313,7 @@ def opened(rows: DataFrame, partitioned: DataFrame, pairs: DataFrame) -> DataFra
     stream = opening.union(passing).repartition("group", "block", "share").sortWithinPartitions("group", "block", "share", "kind")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles()
+        make = Shingles(size)
         block, union, least = [], np.zeros(0, np.uint64), 0
         for batch in batches:
             found = []
@@ -322,23 +322,23 @@ def opened(rows: DataFrame, partitioned: DataFrame, pairs: DataFrame) -> DataFra
                 fields = [given.field(c).to_pylist() for c in ("doc_id", "known", "text")]
                 sets = list(zip(fields[0], fields[1], make.sets(fields[2]), strict=True))
                 if kind:
-                    found.extend(_links(block, union, least, sets))
+                    found.extend(_links(block, union, least, sets, percent))
                     continue
                 block, least = sets, min(len(s[2]) for s in sets)
                 union = sets[0][2] if len(sets) == 1 else np.unique(np.concatenate([s[2] for s in sets]))
                 if inner:
-                    found.extend(_links_within(block))
+                    found.extend(_links_within(block, percent))
             edges = np.array(found, np.int64).reshape(len(found), 2)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
     return stream.mapInArrow(compared, "a long, b long").distinct()
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
+def join_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row of ``docs``."""
     rows = _rows(docs)
-    frequent = shipped(docs.sparkSession, frequent_shingles(rows))
-    seen = written(summaries(rows))
+    frequent = shipped(docs.sparkSession, frequent_shingles(rows, shingle))
+    seen = written(summaries(rows, shingle))
     least = [F.min(c).alias(c) for c in ("n", "k1", "k2")]
     sets = written(seen.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("vertex"), *least, F.count("*").alias("copies")))
     # rows of one doc_id are linked, and so are copies
@@ -351,14 +351,14 @@ def join_documents(docs: DataFrame) -> DataFrame:
     spare = copies.select(F.col("a").alias("vertex")).distinct().join(vertices, "vertex", "left_anti")
     rows = rows.join(_small(spare.withColumnRenamed("vertex", "doc_id")), "doc_id", "left_anti")
 
-    edges = _stars(rows, vertices, "k1")
+    edges = _stars(rows, vertices, "k1", shingle, percent)
     vertices = _grouped(vertices, edges)
     leaders = vertices.where("vertex = group")
-    edges = edges.union(_stars(rows, leaders, "k2"))
+    edges = edges.union(_stars(rows, leaders, "k2", shingle, percent))
     vertices = _grouped(vertices, edges)
     partitioned = _partitioned(vertices)
-    pairs = qualifying_groups(_matrix(rows, partitioned, frequent), partitioned)
-    edges = edges.union(opened(rows, partitioned, pairs)).union(vertices.select(F.col("vertex").alias("a"), F.col("group").alias("b")))
+    pairs = qualifying_groups(_matrix(rows, partitioned, frequent, shingle, percent), partitioned, percent)
+    edges = edges.union(opened(rows, partitioned, pairs, shingle, percent)).union(vertices.select(F.col("vertex").alias("a"), F.col("group").alias("b")))
     found = components(edges.union(copies))
     found = seen.join(found, F.col("doc_id") == F.col("vertex"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
@@ -366,8 +366,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     return found.select(given[0].alias("doc_id"), F.col("n").alias("n_shingles"), given[1].alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, or have no set; texts are shuffled once at most."""
     # rows of one doc_id are in one component, so ids tell which rows go
-    found = join_documents(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    found = join_documents(docs, shingle, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return unpacked(docs, packed(docs).join(_small(found), F.col("doc_id") == F.col("gone"), "left_anti"))

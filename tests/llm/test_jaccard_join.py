@@ -92,3 +92,19 @@ def test_components(spark):
         parent[high] = low
     assert {v: c for v, c in got.items()} == {v: root(v) for v in parent if any(v in e for e in edges if e[0] != e[1])}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows, kept = [], set()
+    # 96 shingles of five words; a tail of new words leaves 96 - tail of them: 80 % are alike up to a tail of 10
+    for i, tail in enumerate([0, 6, 8, 9, 10, 11, 12, 20]):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(words), "s"), (2 * i + 1, " ".join(words[: 100 - tail] + [f"t{rng.getrandbits(40)}" for _ in range(tail)]), "s")]
+        kept |= {2 * i, *([2 * i + 1] if 5 * (96 - tail) < 4 * (96 + tail) else [])}
+    docs = documents(spark, rows)
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == kept
+    assert {r.doc_id for r in one_of_each(docs).collect()} > kept
