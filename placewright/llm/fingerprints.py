@@ -158,7 +158,7 @@ def _halves(fingerprint):
 
 
 def near_counts(fingerprints: DataFrame) -> DataFrame:
-    """``doc_id`` and ``n_near``: the other documents within ``RADIUS`` bits, for the query set.
+    """``doc_id``, ``fingerprint`` and ``n_near``: the other documents within ``RADIUS`` bits, for the query set.
 
     Queries are the rows whose ``doc_id`` is divisible by 20; they are looked up among all rows.
     """
@@ -180,11 +180,12 @@ def near_counts(fingerprints: DataFrame) -> DataFrame:
     pairs = asked.join(keyed, ["table", "block"]).where(earlier & (distance <= RADIUS))
     found = pairs.groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
     queries = fingerprints.where(F.col("doc_id") % 20 == 0).select("doc_id", F.col("fingerprint").alias("query"))
-    return queries.join(found, "query").select("doc_id", "n_near")
+    return queries.join(found, "query").select("doc_id", F.col("query").alias("fingerprint"), "n_near")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``RESULT`` and ``n_near`` (null outside the query set)."""
     chained = written(chain_fingerprints(docs))
     near = near_counts(chained.select("doc_id", "fingerprint")).distinct()
-    return chained.join(near.withColumnRenamed("doc_id", "_query"), F.col("doc_id") == F.col("_query"), "left").drop("_query")
+    # rows of one doc_id can differ in their texts, and so in what is near them
+    return chained.join(near, ["doc_id", "fingerprint"], "left").select(*NAMES, "n_near")

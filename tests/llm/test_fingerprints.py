@@ -55,3 +55,10 @@ def test_block_tables_find_all_within_the_radius(spark):
         if i % 20 == 0:
             assert got[i] == sum((int(a, 16) ^ int(b, 16)).bit_count() <= RADIUS for _, b in prints) - 1
     assert len(got) == 15
+
+
+def test_rows_of_one_id_keep_their_own_counts(spark):
+    rows = [(20, "a b c d e f", "s"), (20, "u v w x y z", "s"), (21, "a b c d e f", "s"), (22, "a b c d e f", "s"), (23, "other words here", "s")]
+    got = sorted((r.doc_id, r.fingerprint, r.n_near) for r in fingerprint_documents(documents(spark, rows)).collect())
+    make = Fingerprinter()
+    assert got == sorted([(i, make(t).hex(), None if i % 20 else 2 * (t[0] == "a")) for i, t, _ in rows], key=lambda r: r[:2])
