@@ -133,8 +133,6 @@ def posting_lists(terms: DataFrame) -> DataFrame:
     """Each term's matches in insertion order, as rows with a position from 1 up.
 
     The lists stay flat. An array per term would put all matches of a frequent name into one row;
-    here even the numbering of one list is spread over the input blocks that it came from.
+    here even the numbering of one list is dealt over as many tasks as it fills.
     """
-    order = [F.col("seq")]
-    block = [F.col(f"seq.{name}") for name in ("src", "file_no", "block")]
-    return with_rank(terms, [F.col("term")], [block], order, name="position")
+    return with_rank(terms, [F.col("term")], [F.col("seq")], name="position")

@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from placewright.operators.ranking import with_rank
 from placewright.scratch import written
-from placewright.schema import KEY_FIELDS, PLACE_FIELDS, SEQ_FIELDS
-
-# Results are numbered in runs of ids that differ in this many low bits only, and within an id by this
-# many characters of the term.
-ID_CHUNK_BITS = 12
-BEGINNING = 8
+from placewright.schema import KEY_FIELDS, PLACE_FIELDS
 
 
 def key_struct(term: Column) -> Column:
@@ -32,25 +27,9 @@ def order_columns(insertion_order: bool, with_distance: bool) -> list[str]:
     return [*(["distance"] if with_distance else []), "ord", "id", "term", "seq"]
 
 
-def chunk_levels(order: list[str]) -> list[list[Column]]:
-    """Leading parts of the result order, to number results in pieces.
-
-    A result is cut into runs of ids, and a run into its ids and the beginnings of their terms, so that
-    neither a text with very many results nor a place with very many names ends up in one task.
-    """
-    if order[0] == "seq":
-        return [[F.col(f"seq.{name}") for name in SEQ_FIELDS[:3]]]
-    leading = [F.col(name) for name in order[: order.index("id")]]
-    beginning = F.substring("term", 1, BEGINNING)
-    return [[*leading, F.shiftright("id", ID_CHUNK_BITS)], [F.col("id"), beginning]]
-
-
 def ranked(matches: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Add the position of each match in the result list of its group.
 
-    The matches are written to a table first, which is read twice: to count the pieces that the result is
-    numbered in, and to number them.
+    The matches are written to a table first, as numbering them reads them twice.
     """
-    table = written(matches)
-    columns = [F.col(name) for name in order]
-    return with_rank(table, [F.col(name) for name in group], chunk_levels(order), columns)
+    return with_rank(written(matches), [F.col(name) for name in group], [F.col(name) for name in order])
