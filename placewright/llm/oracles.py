@@ -79,4 +79,40 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLES = {"op2_top_k_search": TOP_K, "op8_mixing": MIXING, "op10_chat_formatting": CHATS}
+#: The remainders h are crc32 by its bits: the table has no such function in SQL.
+TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda x, c: list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, t.role, t.text, t.pos, 0 AS part FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.role, t.text, t.pos, 1 FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+paths AS (
+  SELECT conv_id, length(text) AS chars, row_number() OVER w AS depth, string_agg(md5(role) || md5(text), '') OVER w AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+members AS (
+  SELECT conv_id, depth, path, chars FROM paths UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS len FROM members GROUP BY 1),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = len), '')) AS ends_sha256
+  FROM members JOIN lengths USING (conv_id) GROUP BY 1, 2),
+children AS (
+  SELECT depth - 1 AS depth, left(path, -64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+counted AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, path)),
+below AS (
+  SELECT m.depth, m.path, sum((y.n_children = 0)::BIGINT) AS n_leaves, sum((y.n_convs - 1) * y.chars) AS saved_tokens
+  FROM counted y JOIN members m ON m.conv_id = y.conv_id AND m.depth <= y.depth GROUP BY 1, 2)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN below b USING (depth, path) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND n.depth > 0 AND p.path = left(n.path, -64)
+"""
+
+ORACLES = {"op2_top_k_search": TOP_K, "op8_mixing": MIXING, "op10_chat_formatting": CHATS, "op13_conversation_prefix_trie": TRIE}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placewright.llm.chaining import passages
 from placewright.llm.chats import format_chats
+from placewright.llm.conversation_trie import grafted, op13_digest
 from placewright.llm.fingerprints import fingerprint_documents
 from placewright.llm.jaccard_join import join_documents
 from placewright.llm.line_dedup import dedup_lines
@@ -63,6 +64,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_digest(grafted(read(spark, sf_dir, "conversations")).nodes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_chat_formatting": op10_chat_formatting,
+        "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
     }
 
 
