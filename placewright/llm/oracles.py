@@ -115,4 +115,34 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_con
 FROM counted n JOIN below b USING (depth, path) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND n.depth > 0 AND p.path = left(n.path, -64)
 """
 
-ORACLES = {"op2_top_k_search": TOP_K, "op8_mixing": MIXING, "op10_chat_formatting": CHATS, "op13_conversation_prefix_trie": TRIE}
+HARD_NEGATIVES = r"""
+WITH vectors AS (
+  SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.v AS anchor, a.label AS anchor_label, c.vec_id, c.label,
+         CASE WHEN len(a.v) = 0 THEN 0 ELSE list_dot_product(a.v, c.v) END::BIGINT AS score
+  FROM vectors a JOIN vectors c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT anchor_id, anchor, anchor_label, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor, anchor_label ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.anchor, p.anchor_label, p.positive_id, p.positive_score
+                            ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND p.anchor = s.anchor AND p.anchor_label = s.anchor_label
+    AND s.label <> p.anchor_label AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {
+    "op2_top_k_search": TOP_K,
+    "op8_mixing": MIXING,
+    "op10_chat_formatting": CHATS,
+    "op12_hard_negative_mining": HARD_NEGATIVES,
+    "op13_conversation_prefix_trie": TRIE,
+}

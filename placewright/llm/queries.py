@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.llm.chaining import passages
 from placewright.llm.chats import format_chats
 from placewright.llm.conversation_trie import grafted, op13_digest
 from placewright.llm.fingerprints import fingerprint_documents
+from placewright.llm.hard_negatives import hard_negatives
 from placewright.llm.jaccard_join import join_documents
 from placewright.llm.line_dedup import dedup_lines
 from placewright.llm.mixing import mix
@@ -64,6 +65,15 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
 
 
+def changed_label() -> Column:
+    """The label that counts: every seventh row has the one after its own."""
+    return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(read(spark, sf_dir, "embeddings"), changed_label())
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_digest(grafted(read(spark, sf_dir, "conversations")).nodes)
 
@@ -80,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_chat_formatting": op10_chat_formatting,
+        "op12_hard_negative_mining": op12_hard_negative_mining,
         "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
     }
 
