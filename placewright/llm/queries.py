@@ -13,6 +13,7 @@ from placewright.llm.conversation_trie import grafted, op13_digest
 from placewright.llm.fingerprints import fingerprint_documents
 from placewright.llm.hard_negatives import hard_negatives
 from placewright.llm.jaccard_join import join_documents
+from placewright.llm.licenses import license_summary
 from placewright.llm.line_dedup import dedup_lines
 from placewright.llm.mixing import mix
 from placewright.llm.oracles import ORACLES
@@ -65,6 +66,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_summary(read(spark, sf_dir, "documents"))
+
+
 def changed_label() -> Column:
     """The label that counts: every seventh row has the one after its own."""
     return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_license_scan": op11_license_scan,
         "op12_hard_negative_mining": op12_hard_negative_mining,
         "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
     }
