@@ -25,18 +25,18 @@ from placewright.sources.mentions import read_mentions
 from placewright.sources.results import as_json
 from placewright.star_schema_sql import ORACLES
 
+llm = corpus_pipeline = None
 try:  # the only place that allows for the subpackage and its pipeline to be missing
     import placewright.llm.queries as llm
 except ModuleNotFoundError as missing:
     if missing.name not in ("placewright.llm", "placewright.llm.queries"):
         raise
-    llm = None
-try:
-    import corpus_pipeline
-except ModuleNotFoundError as missing:
-    if missing.name != "corpus_pipeline":
-        raise
-    corpus_pipeline = None
+if llm:
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
 
 NAME = "small ring ECONOMY Brand#2"
 LANGUAGES = ["building", "machinery", "automobile"]
