@@ -103,39 +103,59 @@ def prefix_pairs(
 # --- edit distance --------------------------------------------------------------------------------
 
 
-def deletion_keys(text: Column, deletions: int) -> Column:
+# Kinds of deletion keys: both may have lost up to k characters, but only one of them all k; see deletion_keys.
+FEWER_IN_TEXT, ALL_IN_TEXT, ALL_IN_BOTH = 1, 2, 3
+
+
+def deletion_keys(text: Column, deletions: int, of_term: bool) -> Column:
     """Hashes of the string and of all strings left by deleting up to that many code points.
 
+    Where text and term have both lost all k characters, they are within k edits only if each edit put one
+    character in the place of another, so the same places must be gone from both; these keys hash the
+    places as well. Otherwise codes built alike would meet all neighbours at twice the distance. A string
+    that has lost fewer meets one that has lost all under a key of its own kind, without places.
+
     The lowest bits of a hash give way to the number of deletions; see :func:`key_of`.
     """
 
-    def key(string: Column, left: int) -> Column:
-        level = min(deletions - left, LEVEL_MASK)
-        return F.xxhash64(string).bitwiseAND(F.lit(~LEVEL_MASK)).bitwiseOR(F.lit(level))
+    def key(kind: int, level: int, string: Column, *places: Column) -> Column:
+        hashed = F.xxhash64(F.lit(kind), string, *places)
+        return hashed.bitwiseAND(F.lit(~LEVEL_MASK)).bitwiseOR(F.lit(min(level, LEVEL_MASK)))
+
+    def keys(level: int, string: Column, places: list[Column]) -> Column:
+        if level == deletions and level:
+            plain = FEWER_IN_TEXT if of_term else ALL_IN_TEXT
+            return F.array(key(plain, level, string), key(ALL_IN_BOTH, level, string, *places))
+        kinds = [FEWER_IN_TEXT, ALL_IN_TEXT] if of_term and deletions else [FEWER_IN_TEXT]
+        return F.array(*[key(kind, level, string) for kind in kinds])
 
     def without(string: Column, position: Column) -> Column:
         head = F.substring(string, F.lit(1), position - 1)
         return F.concat(head, F.substring(string, position + 1, F.length(string)))
 
-    def shorter(string: Column, start: Column, left: int) -> Column:
+    def shorter(string: Column, start: Column, places: list[Column]) -> Column:
         # Positions never move back, so that each set of deleted positions occurs once.
         positions = F.sequence(start, F.length(string))
-        if left == 1:
-            found = F.transform(positions, lambda at: key(without(string, at), 0))
-        else:
 
-            def at_position(at: Column) -> Column:
-                # The array of one binds the shortened string to a name, to compute it once.
-                rest = F.array(without(string, at))
-                return F.flatten(F.transform(rest, lambda s: with_own(s, at, left - 1)))
+        def at_position(at: Column) -> Column:
+            # The array of one binds the shortened string to a name, to compute it once.
+            rest = F.array(without(string, at))
+            return F.flatten(F.transform(rest, lambda s: with_own(s, at, [*places, at])))
 
-            found = F.flatten(F.transform(positions, at_position))
+        found = F.flatten(F.transform(positions, at_position))
         return F.when(start <= F.length(string), found).otherwise(F.array().cast("array<bigint>"))
 
-    def with_own(string: Column, start: Column, left: int) -> Column:
-        return F.concat(F.array(key(string, left)), shorter(string, start, left))
+    def with_own(string: Column, start: Column, places: list[Column]) -> Column:
+        own = keys(len(places), string, places)
+        return own if len(places) == deletions else F.concat(own, shorter(string, start, places))
 
-    return F.array_distinct(with_own(text, F.lit(1), deletions))
+    return F.array_distinct(with_own(text, F.lit(1), []))
+
+
+def keyed_terms(dictionary: DataFrame, k: int) -> DataFrame:
+    """``key``, ``term`` and ``n``, the deletions that led to the key, for texts within ``k`` edits."""
+    marked = spread(dictionary).select("term", F.explode(deletion_keys(F.col("term"), k, True)).alias("marked"))
+    return marked.select(key_of(F.col("marked")).alias("key"), "term", level_of(F.col("marked")).alias("n"))
 
 
 def key_of(marked: Column) -> Column:
@@ -155,31 +175,25 @@ def longest_for_deletions(k: int) -> int:
 
 
 def _deletion_candidates(
-    texts: DataFrame, dictionary: DataFrame, k: int, as_subsequence: bool
+    texts: DataFrame, dictionary: DataFrame, k: int, as_subsequence: bool, keys: DataFrame | None = None
 ) -> DataFrame:
     """Pairs with a common string reachable by at most ``k`` deletions from either side.
 
     Two strings within distance k always have one. As both sides are without duplicates, a key is
     shared by no more terms than there are ways to insert k characters, so there are no hot keys, no
-    matter how many places or mentions share a name.
+    matter how many places or mentions share a name. Strings of one length that meet after k deletions
+    each differ in the deleted places only, so among codes of one form hardly any pair meets in vain.
 
     ``deleted`` is the larger number of deletions that led to the common string. Strings at distance d
     have one with at most d, so all others only repeat the pair.
     """
-    text_keys = deletion_keys(F.col("text"), k)
+    text_keys = deletion_keys(F.col("text"), k, False)
     if as_subsequence:
         # An ASCII text inside a term is what deletions from the term alone lead to.
-        own = F.array(F.xxhash64("text").bitwiseAND(F.lit(~LEVEL_MASK)))
-        text_keys = F.when(is_ascii(F.col("text")), own).otherwise(text_keys)
+        text_keys = F.when(is_ascii(F.col("text")), deletion_keys(F.col("text"), 0, False)).otherwise(text_keys)
     keyed_texts = spread(texts).select("text", F.explode(text_keys).alias("marked"))
-    keyed_terms = spread(dictionary).select(
-        "term", F.explode(deletion_keys(F.col("term"), k)).alias("marked")
-    )
-    met = on_keys(
-        keyed_texts.select("text", key_of(F.col("marked")).alias("key")),
-        keyed_terms.select("term", key_of(F.col("marked")).alias("key"), level_of(F.col("marked")).alias("n")),
-        ["key"],
-    )
+    keyed_texts = keyed_texts.select("text", key_of(F.col("marked")).alias("key"))
+    met = on_keys(keyed_texts, keyed_terms(dictionary, k) if keys is None else keys, ["key"])
     # Both have lost characters down to the same length.
     from_text = F.col("n") - F.length("term") + F.length("text")
     return met.select("text", "term", F.greatest("n", from_text).alias("deleted"))
@@ -252,30 +266,36 @@ def _segment_candidates(
 
 
 def _edit_candidates(
-    texts: DataFrame, dictionary: DataFrame, k: int, longest_term: int | None, as_subsequence: bool = False
+    texts: DataFrame,
+    dictionary: DataFrame,
+    k: int,
+    longest_term: int | None,
+    as_subsequence: bool = False,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     limit = longest_for_deletions(k)
     if longest_term is not None and longest_term <= limit:
-        return _deletion_candidates(texts, dictionary, k, as_subsequence)
+        return _deletion_candidates(texts, dictionary, k, as_subsequence, keys)
     short_texts = texts.filter(F.length("text") <= limit + k)
     short_terms = dictionary.filter(F.length("term") <= limit)
     long_terms = dictionary.filter(F.length("term") > limit)
     long_texts = texts.filter(F.length("text") > limit - k)
-    return _deletion_candidates(short_texts, short_terms, k, as_subsequence).unionByName(
+    return _deletion_candidates(short_texts, short_terms, k, as_subsequence, keys).unionByName(
         _segment_candidates(long_texts, long_terms, k, limit, as_subsequence)
     )
 
 
 def levenshtein_pairs(
-    texts: DataFrame, dictionary: DataFrame, k: int, longest_term: int | None = None
+    texts: DataFrame, dictionary: DataFrame, k: int, longest_term: int | None = None, keys: DataFrame | None = None
 ) -> DataFrame:
     """Edit distance at most ``k``. A pair may come more than once; see :func:`once`.
 
     ``longest_term`` is the length of the longest term, if known; it saves the plan for long terms.
+    ``keys`` are the keys of all terms that are short enough for them, as :func:`keyed_terms` makes them.
     """
     if k == 0:
         return exact_pairs(texts, dictionary)
-    met = _edit_candidates(texts, dictionary, k, longest_term)
+    met = _edit_candidates(texts, dictionary, k, longest_term, keys=keys)
     distance = edit_distance(F.col("text"), F.col("term"), k)
     return met.withColumn("distance", distance).filter("distance >= deleted").drop("deleted")
 
@@ -289,10 +309,10 @@ def once(pairs: DataFrame) -> DataFrame:
 
 
 def capped_subsequence_pairs(
-    texts: DataFrame, dictionary: DataFrame, k: int, longest_term: int | None = None
+    texts: DataFrame, dictionary: DataFrame, k: int, longest_term: int | None = None, keys: DataFrame | None = None
 ) -> DataFrame:
     """Texts that are a byte subsequence of a term at edit distance 1..k. Pairs may repeat."""
-    met = _edit_candidates(texts, dictionary, k, longest_term, as_subsequence=True)
+    met = _edit_candidates(texts, dictionary, k, longest_term, as_subsequence=True, keys=keys)
     text, term = F.col("text"), F.col("term")
     within = met.withColumn("distance", edit_distance(text, term, k)).filter("distance >= deleted")
     # For an ASCII text the distance itself tells: only insertions make it the length difference.

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from placewright.functions.parsing import strict_id
 from placewright.operators.joins import gram_counts
 from placewright.operators.terms import alternate_pairs, main_pairs, place_records, searchable
+from placewright.plans.saved import PLACES, load_tables, save_tables
 from placewright.schema import DEFAULT_LANGUAGES, SRC_ALTERNATE, SRC_MAIN
 from placewright.sources.dumps import scan_alternates, scan_places
 
 
 @dataclass
 class Gazetteer:
-    """``places`` has one row per id, ``terms`` one row per search pair."""
+    """``places`` has one row per id, ``terms`` one row per search pair; a saved one has ``tables`` for joins besides."""
 
     places: DataFrame
     terms: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict, repr=False)
     _known: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -49,21 +51,27 @@ class Gazetteer:
         raw = scan_alternates(spark, alternates, **scan_options) if alternates else None
         return cls.from_raw(main, raw, None if all_languages else languages)
 
-    def save(self, path: str, mode: str = "errorifexists") -> Gazetteer:
-        """Write both tables and return the gazetteer that reads them.
+    def save(
+        self, path: str, mode: str = "errorifexists", *, distances: Sequence[int] = (1,), prefixes: bool = True
+    ) -> Gazetteer:
+        """Write all tables and return the gazetteer that reads them.
 
         Terms are range-partitioned and sorted, so that exact and prefix lookups skip files and row
         groups by their statistics. The insertion order is part of the sort key: it divides a name
-        that many places share.
+        that many places share. Places, the best posting of every term and every prefix, and the deletion keys of terms for
+        the given ``distances`` are bucketed for joins; see ``plans.saved``.
         """
+        spark = self.terms.sparkSession
         terms = self.terms.repartitionByRange("term", "seq").sortWithinPartitions("term", "seq")
-        terms.write.mode(mode).parquet(f"{path}/terms")
-        self.places.write.mode(mode).parquet(f"{path}/places")
-        return self.load(self.terms.sparkSession, path)
+        terms.write.mode(mode).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/terms")
+        save_tables(self.places, spark.read.parquet(f"{path}/terms"), path, tuple(distances), prefixes)
+        return self.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Gazetteer:
-        return cls(spark.read.parquet(f"{path}/places"), spark.read.parquet(f"{path}/terms"))
+        """The gazetteer saved below ``path``, in the same or another session."""
+        facts, tables = load_tables(spark, path)
+        return cls(tables[PLACES], spark.read.parquet(f"{path}/terms"), tables, {"longest_term": facts["longest_term"]})
 
     def longest_term(self) -> int:
         """Length of the longest term; one aggregation, done once per gazetteer."""

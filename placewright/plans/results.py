@@ -27,6 +27,13 @@ def order_columns(insertion_order: bool, with_distance: bool) -> list[str]:
     return [*(["distance"] if with_distance else []), "ord", "id", "term", "seq"]
 
 
+def least_posting(insertion_order: bool) -> Column:
+    """The least posting of a group, by all that orders results but the distance and the term."""
+    order = [name for name in order_columns(insertion_order, False) if name != "term"]
+    rest = [name for name in ["ord", "id", "seq", "type", "lang", "from", "to"] if name not in order]
+    return F.min(F.struct(*order, *rest))
+
+
 def ranked(matches: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Add the position of each match in the result list of its group.
 

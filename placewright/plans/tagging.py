@@ -21,12 +21,12 @@ from placewright.operators.joins import (
 )
 from placewright.plans.gazetteer import Gazetteer
 from placewright.plans.results import key_struct, order_columns, ranked, with_entry
+from placewright.plans.saved import BEST, PREFIXES, best_postings, deletions, least_by
 from placewright.plans.search import limit
 from placewright.scratch import written
 
 MODES = ("find", "starts_with", "fuzzy", "levenshtein")
 DEFAULT_MAX_DIST = {"find": 0, "starts_with": 0, "fuzzy": 0, "levenshtein": 1}
-_PAYLOAD = ["type", "lang", "from", "to"]
 
 
 def tag(
@@ -73,16 +73,21 @@ def tag(
     return tagged.select("reference", "key", "entry", "distance", *(["rank"] if rank else []))
 
 
-def _pairs(texts: DataFrame, dictionary: DataFrame, gazetteer: Gazetteer, mode: str, k: int) -> DataFrame:
-    """Matching texts and terms; may hold repetitions where :func:`_repeats` says so."""
+def _pairs(
+    texts: DataFrame, dictionary: DataFrame, gazetteer: Gazetteer, mode: str, k: int, keys: DataFrame | None = None
+) -> DataFrame:
+    """Matching texts and terms; may hold repetitions where :func:`_repeats` says so.
+
+    ``keys`` are saved deletion keys of the dictionary.
+    """
     if mode == "find":
         return exact_pairs(texts, dictionary)
     if mode == "starts_with":
         return prefix_pairs(texts, dictionary, k, gazetteer.longest_term())
     if mode == "levenshtein":
-        return levenshtein_pairs(texts, dictionary, k, gazetteer.longest_term() if k else None)
+        return levenshtein_pairs(texts, dictionary, k, gazetteer.longest_term() if k else None, keys)
     if k:
-        return capped_subsequence_pairs(texts, dictionary, k, gazetteer.longest_term())
+        return capped_subsequence_pairs(texts, dictionary, k, gazetteer.longest_term(), keys)
     return subsequence_pairs(texts, dictionary, gazetteer.gram_counts())
 
 
@@ -98,14 +103,20 @@ def _postings(gazetteer: Gazetteer, place_filter: dict) -> DataFrame:
     return gazetteer.terms.join(passing, "id", "left_semi")
 
 
+def _saved(gazetteer: Gazetteer, name: str, place_filter: dict) -> DataFrame | None:
+    """A saved table; it holds terms of all places, so a filter cannot use it."""
+    return gazetteer.tables.get(name) if place_condition(**place_filter) is None else None
+
+
 def _all(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filter: dict) -> DataFrame:
     postings = _postings(gazetteer, place_filter)
     if mode == "find" or (mode == "levenshtein" and k == 0):
-        matches = exact_pairs(texts, postings)
-    else:
-        pairs = _pairs(texts, postings.select("term").distinct(), gazetteer, mode, k)
-        matches = (once(pairs) if _repeats(mode, k) else pairs).join(postings, "term")
-    return matches
+        return exact_pairs(texts, postings)
+    best = _saved(gazetteer, BEST, place_filter)
+    dictionary = postings.select("term").distinct() if best is None else best.select("term")
+    keys = _saved(gazetteer, deletions(k), place_filter) if k else None
+    pairs = _pairs(texts, dictionary, gazetteer, mode, k, keys)
+    return (once(pairs) if _repeats(mode, k) else pairs).join(postings, "term")
 
 
 def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filter: dict) -> DataFrame:
@@ -114,33 +125,35 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
     The order within a term does not depend on the text, so each term is reduced to its least posting
     before terms meet texts: a name that many places share costs as much as any other. Both steps are
     minima, i.e. partial aggregates that also shrink hot groups before the shuffle, and repeated pairs
-    do not matter to them.
+    do not matter to them. A saved gazetteer has its terms reduced and keyed already.
     """
-    order = order_columns(mode == "find", False)
-    least = F.min(F.struct(*[name for name in order if name != "term"], *_rest(order))).alias("least")
-    postings = _postings(gazetteer, place_filter)
-    if mode == "find" or (mode == "levenshtein" and k == 0):
+    best = _saved(gazetteer, BEST, place_filter)
+    exact = mode == "find" or (mode == "levenshtein" and k == 0)
+    chosen = "earliest.*" if mode == "find" else "least.*"
+    if exact and best is None:
         # terms that no text asks for are gone before they are reduced
-        asked = postings.join(texts, F.col("term") == F.col("text"), "left_semi")
-        return exact_pairs(texts, asked.groupBy("term").agg(least)).select("text", "term", "distance", "least.*")
-    best = postings.groupBy("term").agg(least)
+        asked = _postings(gazetteer, place_filter).join(texts, F.col("term") == F.col("text"), "left_semi")
+        best = best_postings(asked)
+    if exact:
+        return exact_pairs(texts, best).select("text", "term", "distance", chosen)
     if mode == "starts_with":
-        winners = _least_by_prefix(texts, best, k, gazetteer.longest_term())
-    else:
-        # Both sides are read several times, so they are made once.
-        best, texts = written(best), written(texts)
-        # Nothing comes before the term that equals the text, so texts with one are done.
-        winners = exact_pairs(texts, best).select("text", "term", "distance", "least.*")
-        rest = written(texts.join(best, F.col("text") == F.col("term"), "left_anti"))
-        near = _pairs(rest, best.select("term"), gazetteer, mode, k).join(best, "term")
-        winners = winners.unionByName(_least(near, "text"))
-    return winners
-
-
-def _least(candidates: DataFrame, key: str) -> DataFrame:
-    choice = F.min(F.struct("distance", "least.ord", "least.id", "term", "least.seq", "least"))
-    chosen = candidates.groupBy(key).agg(choice.alias("w"))
-    return chosen.select(key, "w.term", "w.distance", "w.least.*")
+        prefixes = _saved(gazetteer, PREFIXES, place_filter)
+        if prefixes is not None:
+            found = texts.join(prefixes, "text")
+            return found.filter(F.col("distance") <= k) if k else found
+    if best is None:
+        best = best_postings(_postings(gazetteer, place_filter)).select("term", "least")
+        if mode != "starts_with":  # read several times, so made once
+            best = written(best)
+    if mode == "starts_with":
+        return _least_by_prefix(texts, best, k, gazetteer.longest_term())
+    texts = written(texts)
+    # Nothing comes before the term that equals the text, so texts with one are done.
+    winners = exact_pairs(texts, best).select("text", "term", "distance", "least.*")
+    rest = written(texts.join(best, F.col("text") == F.col("term"), "left_anti"))
+    keys = _saved(gazetteer, deletions(k), place_filter) if k else None
+    near = _pairs(rest, best.select("term"), gazetteer, mode, k, keys).join(best, "term")
+    return winners.unionByName(least_by(near, "text"))
 
 
 def _least_by_prefix(texts: DataFrame, best: DataFrame, k: int, longest_term: int) -> DataFrame:
@@ -152,8 +165,4 @@ def _least_by_prefix(texts: DataFrame, best: DataFrame, k: int, longest_term: in
     candidates = with_prefixes(best, prefix_lengths(texts, longest_term), k)
     keyed = candidates.withColumn("text", F.substring("term", F.lit(1), F.col("plen")))
     # Not a semi join: it would be pushed below the aggregate, down to all prefixes.
-    return _least(keyed, "text").join(texts, "text")
-
-
-def _rest(order: list[str]) -> list[str]:
-    return [name for name in ["ord", "id", "seq", *_PAYLOAD] if name not in order]
+    return least_by(keyed, "text").join(texts, "text")

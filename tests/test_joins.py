@@ -161,3 +161,13 @@ def test_partitioning_does_not_matter(spark, case):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found == brute.tagged("levenshtein", "first", mentions, terms, 2)
+
+
+@pytest.mark.parametrize(("k", "most"), [(1, 1.0), (2, 1.01)])
+def test_codes_of_one_form_meet_neighbours_only(spark, k, most):
+    """Dense codes share what deletions leave with thousands that are twice as far away."""
+    codes = spark.range(1, 3000).select(F.format_string("Customer#%09d", "id").alias("term"))
+    texts = codes.where("term like '%7'").withColumnRenamed("term", "text")
+    met = joins._edit_candidates(texts, codes, k, 18).select("text", "term").distinct().count()
+    results = joins.once(joins.levenshtein_pairs(texts, codes, k, 18)).count()
+    assert results <= met <= most * results
