@@ -18,10 +18,10 @@ from placewright.scratch import written
 
 # Deletion keys per term up to which they are preferred to segment keys.
 MAX_DELETION_KEYS = 2048
-# Terms per segment key, and terms per task on a byte-pair key, beyond which the key counts as hot.
+# Terms per segment key beyond which the key counts as hot.
 HOT_KEY_TERMS = 4096
-# Different bytes in a term up to which it gets triples, of which there may be the third power.
-MAX_TRIPLE_BYTES = 48
+# Terms that a text is compared with without asking for another of its byte pairs, and pairs asked for at most.
+FEW_TERMS, MAX_PAIRS = 64, 8
 # Keys, of some bytes each, that are broadcast after they have been counted.
 MAX_BROADCAST_KEYS = 1_000_000
 # Bits of a deletion key that hold the number of deletions, cut off at the largest value they can hold.
@@ -355,32 +355,6 @@ def _grams(chars: Column) -> Column:
     return F.concat(F.array(F.lit("")), F.array_distinct(chars), _pairs_of(chars))
 
 
-def _triples(chars: Column) -> Column:
-    """The distinct triples of bytes that occur in this order."""
-
-    def starting_with(a: Column) -> Column:
-        # The array of one binds what follows to a name, to cut it off once.
-        rest = F.array(_after(chars, a))
-        return F.transform(
-            F.flatten(F.transform(rest, _pairs_of)), lambda pair: F.concat(a, pair)
-        )
-
-    return F.flatten(F.transform(F.array_distinct(chars), starting_with))
-
-
-def _rarest_triple(chars: Column, byte_counts: Column) -> Column:
-    """The three bytes of a text that the fewest terms have, in text order."""
-    scored = F.transform(
-        chars,
-        lambda char, i: F.struct(
-            F.element_at(byte_counts, char).alias("n_terms"), i.alias("i"), char.alias("char")
-        ),
-    )
-    three = F.slice(F.array_sort(scored), 1, 3)
-    in_order = F.array_sort(F.transform(three, lambda s: F.struct(s["i"].alias("i"), s["char"].alias("char"))))
-    return F.array_join(F.transform(in_order, lambda s: s["char"]), "")
-
-
 def gram_counts(dictionary: DataFrame) -> DataFrame:
     """How many terms have each gram, as a table of bounded size that is written at once."""
     grams = _grams_of(_with_bytes(dictionary, "term").withColumnRenamed("mask", "term_mask"))
@@ -392,39 +366,49 @@ def subsequence_pairs(
 ) -> DataFrame:
     """Texts that are a byte subsequence of a term, at any distance.
 
-    Every two bytes of the text occur in this order in the term, so a text may look for its terms under
-    any one of its byte pairs, and takes the one that the fewest terms have. Where even that pair is
-    common, the text looks under three bytes instead. The counts of bytes and pairs that these choices
-    need have at most 256 * 256 + 256 + 1 rows whatever the data; they and the choices are written to
-    tables first, so that the plan for the rest follows measured sizes. ``counts`` may come from a
+    Every two bytes of the text occur in this order in the term. So a text looks for its terms under the byte pair
+    that the fewest terms have. Where these are more than a few, it asks for its next rarest pair as well, and
+    so on: terms under a hot key go on to the longer keys that texts ask for, and are counted there, until a key
+    holds few terms or all pairs of the text are in it, and terms under it are as good as results. So candidates
+    grow with texts and results, not with the product of the texts and terms that share a pair.
+
+    The counts of bytes and pairs have at most 256 * 256 + 256 + 1 rows whatever the data. What is known of a step is
+    written to tables, so that the plan for the rest follows measured sizes. ``counts`` may come from a
     larger dictionary: it guides the choices, but any choice finds all pairs.
     """
     term_bytes = _with_bytes(dictionary, "term").withColumnRenamed("mask", "term_mask")
-    grams = _grams_of(term_bytes)
     counts = gram_counts(dictionary) if counts is None else counts
-    chosen = written(_choices(texts, counts))
-    # A text of up to two bytes is in every term that has its gram, so its candidates are results.
-    by_gram = (F.col("n_terms") <= HOT_KEY_TERMS) | (F.octet_length("text") <= 2)
-    met = _meet_on_grams(chosen.filter(by_gram), grams)
-    rest = chosen.filter(~by_gram)
-    n_rest = rest.count()
-    if n_rest:
-        few_triples = F.size(F.array_distinct("chars")) <= MAX_TRIPLE_BYTES
-        by_triple = _meet_on_triples(rest, n_rest, term_bytes.filter(few_triples), counts)
-        # Terms with so many different bytes that they would have too many triples stay under pairs.
-        others = term_bytes.filter(~few_triples)
-        met = met.unionByName(by_triple).unionByName(_meet_on_grams(rest, _grams_of(others)))
+    asked = written(_choices(texts, counts))
+    first = F.broadcast(asked.select("key").distinct())  # grams, see above
+    keyed = _grams_of(term_bytes).withColumnRenamed("gram", "key").join(first, "key", "left_semi")
+    met = []
+    for step in range(1, MAX_PAIRS + 1):
+        done = (F.col("n_terms") <= FEW_TERMS) | (F.size("grams") <= step) | F.lit(step == MAX_PAIRS)
+        met.append(on_keys(asked.filter(done).select("text", "mask", "key"), keyed, ["key"]).drop("key"))
+        rest = written(asked.filter(~done).withColumn("gram", F.get("grams", F.lit(step))))
+        wanted = written(rest.select("key", "gram").distinct())
+        n_wanted = wanted.count()
+        if not n_wanted:
+            break
+        keyed = written(_with_next_pair(keyed, wanted, n_wanted))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n_terms"))
+        # a longer key that no term has leaves its texts without terms
+        rest = rest.withColumn("key", _longer_key()).drop("n_terms", "gram")
+        asked = written(rest.join(sizes, "key"))
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.unionByName(more)
     # The cheap tests first, as most pairs fail them.
     text, term = F.col("text"), F.col("term")
     contained = F.col("mask").bitwiseAND(F.bitwise_not("term_mask")) == 0
-    met = met.filter(contained & (F.octet_length(text) < F.octet_length(term)))
+    pairs = pairs.filter(contained & (F.octet_length(text) < F.octet_length(term)))
     gap = F.length(term) - F.length(text)
     # One distance answers both questions for ASCII texts; others need the bytes compared as well.
     inserted = F.call_function("levenshtein", text, term, F.greatest(gap, F.lit(0)))
     distance = F.when(is_ascii(text), F.when((gap >= 0) & (inserted >= 0), gap)).when(
         is_subsequence(text, term), edit_distance(text, term)
     )
-    longer = met.select("text", "term", distance.alias("distance")).filter(F.col("distance").isNotNull())
+    longer = pairs.select("text", "term", distance.alias("distance")).filter(F.col("distance").isNotNull())
     # Strings of equal size contain each other only if they are equal.
     return longer.unionByName(exact_pairs(texts, dictionary))
 
@@ -433,41 +417,31 @@ def _grams_of(term_bytes: DataFrame) -> DataFrame:
     return term_bytes.select("term", "term_mask", F.explode(_grams(F.col("chars"))).alias("gram"))
 
 
+def _longer_key() -> Column:
+    return F.concat("key", "gram")
+
+
 def _choices(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each text's rarest pair of bytes and the number of terms under it, if there are any."""
+    """Each text's pairs of bytes from the rarest on, the key of the rarest, and the number of terms under it.
+
+    Texts with a pair that no term has are left out.
+    """
     # A text of one byte has no pair and an empty one no byte: they have to take what they have.
     own_size = F.least(F.lit(2), F.octet_length("text"))
     own = F.filter(_grams(F.col("chars")), lambda gram: F.length(gram) == own_size)
     grams = _with_bytes(texts, "text").select("text", "mask", F.explode(own).alias("gram"))
-    # A gram that no term has counts as 0 and leaves the text without terms.
     counted = grams.join(F.broadcast(counts), "gram", "left")
-    choice = F.min(F.struct(F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "gram", "mask"))
-    return counted.groupBy("text").agg(choice.alias("choice")).select("text", "choice.*").filter("n_terms > 0")
-
-
-def _meet_on_grams(chosen: DataFrame, grams: DataFrame) -> DataFrame:
-    """Texts and terms under the chosen grams; a hot one is split by a hash of the term."""
-    n_salts = F.ceil(F.col("n_terms") / HOT_KEY_TERMS).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt")
-    keyed_texts = chosen.select("text", "mask", "gram", salts)
-    used = F.broadcast(chosen.select("gram", "n_terms").distinct())
-    salt = F.pmod(F.xxhash64("term"), n_salts).cast("int").alias("salt")
-    keyed_terms = grams.join(used, "gram").select("term", "term_mask", "gram", salt)
-    return on_keys(keyed_texts, keyed_terms, ["gram", "salt"]).drop("gram", "salt")
-
-
-def _meet_on_triples(
-    chosen: DataFrame, n_chosen: int, term_bytes: DataFrame, counts: DataFrame
-) -> DataFrame:
-    """Texts and terms under the three rarest bytes of the text."""
-    byte_counts = counts.filter(F.length("gram") == 1).agg(
-        F.map_from_entries(F.collect_list(F.struct("gram", "n_terms")))
-    )
-    with_counts = _with_bytes(chosen.drop("mask"), "text").withColumn("byte_counts", byte_counts.scalar())
-    triple = _rarest_triple(F.col("chars"), F.col("byte_counts"))
-    keyed_texts = with_counts.select("text", "mask", triple.alias("triple"))
-    keyed_terms = term_bytes.select("term", "term_mask", F.explode(_triples(F.col("chars"))).alias("triple"))
-    if n_chosen <= MAX_BROADCAST_KEYS:
-        used = F.broadcast(keyed_texts.select("triple").distinct())
-        keyed_terms = keyed_terms.join(used, "triple", "left_semi")
-    return on_keys(keyed_texts, keyed_terms, ["triple"]).drop("triple")
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "gram")))
+    chosen = counted.groupBy("text").agg(F.first("mask").alias("mask"), ordered.alias("ordered"))
+    rarest = F.transform(F.slice("ordered", 1, MAX_PAIRS), lambda s: s["gram"])
+    chosen = chosen.select("text", "mask", F.col("ordered")[0]["n_terms"].alias("n_terms"), rarest.alias("grams"))
+    return chosen.filter("n_terms > 0").withColumn("key", F.col("grams")[0])
+
+
+def _with_next_pair(keyed: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """Terms under the longer keys that texts ask for: those that have the next pair as well."""
+    if n_wanted <= MAX_BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    hot = keyed.join(wanted.select("key").distinct(), "key", "left_semi")
+    pairs = _with_bytes(hot, "term").select("key", "term", "term_mask", F.explode(_grams(F.col("chars"))).alias("gram"))
+    return pairs.join(wanted, ["key", "gram"]).select("term", "term_mask", _longer_key().alias("key"))

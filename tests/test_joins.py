@@ -114,27 +114,32 @@ def test_long_strings(monkeypatch, sides, k, hot):
     assert found == brute.pairs("levenshtein", text_list, term_list, k)
 
 
-@pytest.mark.parametrize("hot", [4096, 3], ids=["pairs", "triples"])
-def test_subsequences(monkeypatch, sides, hot):
-    monkeypatch.setattr(joins, "HOT_KEY_TERMS", hot)
-    texts, dictionary, text_list, term_list = sides
-    found = [tuple(r) for r in joins.subsequence_pairs(texts, dictionary).select("text", "term", "distance").collect()]
-    assert sorted(found) == sorted(brute.pairs("fuzzy", text_list, term_list, 0))
-
-
-def test_triples_for_some_terms(monkeypatch, sides):
-    monkeypatch.setattr(joins, "HOT_KEY_TERMS", 3)
-    monkeypatch.setattr(joins, "MAX_TRIPLE_BYTES", 3)
+@pytest.mark.parametrize(("few", "most", "broadcast"), [(4096, 8, 10**6), (3, 8, 10**6), (0, 3, 0), (0, 1, 0), (1, 12, 0)])
+def test_subsequences(monkeypatch, sides, few, most, broadcast):
+    """Keys of one pair of bytes, and of as many as there are."""
+    monkeypatch.setattr(joins, "FEW_TERMS", few)
+    monkeypatch.setattr(joins, "MAX_PAIRS", most)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", broadcast)
     texts, dictionary, text_list, term_list = sides
-    found = [(r.text, r.term, r.distance) for r in joins.subsequence_pairs(texts, dictionary).collect()]
-    assert sorted(found) == sorted(brute.pairs("fuzzy", text_list, term_list, 0))
+    assert pair_rows(joins.subsequence_pairs(texts, dictionary)) == brute.pairs("fuzzy", text_list, term_list, 0)
 
 
-def test_triples_without_broadcast(monkeypatch, sides):
-    monkeypatch.setattr(joins, "HOT_KEY_TERMS", 3)
-    monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", 0)
-    texts, dictionary, text_list, term_list = sides
-    assert pair_rows(joins.subsequence_pairs(texts, dictionary)) == brute.pairs("fuzzy", text_list, term_list, 0)
+def test_subsequence_candidates_grow_with_results(spark, monkeypatch):
+    """Four times the texts and terms: a join on one common key would make sixteen times the pairs."""
+    met = []
+    spied = joins.on_keys
+    monkeypatch.setattr(joins, "on_keys", lambda *a: met.append(spied(*a)) or met[-1])
+    sizes = []
+    for n in (2_000, 8_000):
+        name = F.concat(F.lit("Hall "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12))
+        terms = spark.range(n).select(name.alias("term"))
+        texts = terms.select(F.concat(F.substring("term", 1, 9), F.substring("term", 12, 5)).alias("text"))
+        met.clear()
+        results = joins.subsequence_pairs(texts, terms).count()
+        sizes.append((sum(m.count() for m in met), results))
+    (candidates, results), (more_candidates, more_results) = sizes
+    assert more_results >= 4 * results * 0.9
+    assert more_candidates < 6 * candidates and more_candidates < 300 * more_results
 
 
 def test_pairs_come_once(sides):
