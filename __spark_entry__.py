@@ -399,8 +399,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tag_words_fuzzy_first": _tag_words("fuzzy", "first"),
         "saved_find": _search(find, NAME, gazetteer=_saved),
         "saved_starts_with": _search(starts_with, "small ring", gazetteer=_saved),
+        "saved_regex": _search(regex, "^small r(ing|od) [EP].*#1[0-9]?", gazetteer=_saved),
         "saved_tag_find_first": _tag("find", "first", gazetteer=_saved),
         "saved_tag_levenshtein_first": _tag("levenshtein", "first", gazetteer=_saved),
+        "saved_tag_levenshtein_all": _tag("levenshtein", "all", gazetteer=_saved),
+        "saved_tag_starts_with_first": _tag("starts_with", "first", gazetteer=_saved),
+        "saved_tag_fuzzy_first": _tag("fuzzy", "first", gazetteer=_saved),
         "stream_tag_find": _stream_tag("find"),
         "stream_tag_starts_with": _stream_tag("starts_with"),
         "stream_tag_levenshtein": _stream_tag("levenshtein"),

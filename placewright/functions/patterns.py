@@ -133,6 +133,55 @@ def translate(pattern: str) -> str:
     return "".join(out)
 
 
+def required_literals(pattern: str) -> tuple[str, list[str]]:
+    """What every match begins with, and texts that it contains besides, as far as that is plain to see.
+
+    Looked at are characters outside groups and classes, which have to be there unless the repetition after
+    them allows none; not if the pattern has alternatives outside groups, or flags, which may change what characters mean.
+    """
+    if "[]" in pattern or "[^]" in pattern:  # a bracket that does not close its class
+        return "", []
+    runs: list[str] = [""]  # of literals that follow each other
+    anchored, only_prefix = False, True  # whether the first run is all there is so far
+    classes = groups = 0
+    last = False  # whether the last token was a literal
+    for match in _TOKEN.finditer(pattern):
+        kind, token = match.lastgroup, match.group()
+        literal = ""
+        if (kind == "flags" and token != "(?:") or (kind == "other" and token == "|" and not classes and not groups):
+            return "", []
+        if classes or kind == "posix":
+            if kind == "other":
+                classes += {"[": 1, "]": -1}.get(token, 0)
+        elif kind in ("group", "special", "flags"):
+            groups += 1
+        elif kind == "other" and token in "[()":
+            classes += token == "["
+            groups += {"(": 1, ")": -1}.get(token, 0)
+        elif groups:
+            pass
+        elif kind == "repeat":
+            if last and not re.match(r"\+|\{0*[1-9]", token):  # the character before may be missing
+                runs[-1] = runs[-1][:-1]
+        elif kind == "other" and token == "^" and match.start() == 0:
+            anchored = True
+            continue
+        elif kind == "other" and token not in ".^$":
+            literal = token
+        elif kind == "escape" and len(token) == 2 and not token[1].isalnum() and token[1] not in "<>":
+            literal = token[1]
+        if literal:
+            runs[-1] += literal
+        elif runs[-1] or only_prefix:
+            runs.append("")
+            only_prefix = False
+        last = bool(literal)
+    if classes or groups:
+        return "", []
+    prefix = runs[0] if anchored else ""
+    return prefix, [run for run in runs[1 if anchored else 0 :] if run]
+
+
 def checked(spark: SparkSession, pattern: str) -> str:
     """``pattern`` itself, after the JVM's engine has accepted its translation."""
     probe = spark.range(1).select(F.lit("").rlike(translate(pattern)))

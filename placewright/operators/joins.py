@@ -20,8 +20,9 @@ from placewright.scratch import written
 MAX_DELETION_KEYS = 2048
 # Terms per segment key beyond which the key counts as hot.
 HOT_KEY_TERMS = 4096
-# Terms that a text is compared with without asking for another of its byte pairs, and pairs asked for at most.
-FEW_TERMS, MAX_PAIRS = 64, 8
+# Terms under a key, and texts that ask for it, up to which they are compared without asking for another byte pair
+# (to ask costs about as many rows per term as the term has pairs), and pairs that are asked for at most.
+FEW_TERMS, FEW_TEXTS, MAX_PAIRS = 64, 256, 8
 # Keys, of some bytes each, that are broadcast after they have been counted.
 MAX_BROADCAST_KEYS = 1_000_000
 # Bits of a deletion key that hold the number of deletions, cut off at the largest value they can hold.
@@ -367,8 +368,8 @@ def subsequence_pairs(
     """Texts that are a byte subsequence of a term, at any distance.
 
     Every two bytes of the text occur in this order in the term. So a text looks for its terms under the byte pair
-    that the fewest terms have. Where these are more than a few, it asks for its next rarest pair as well, and
-    so on: terms under a hot key go on to the longer keys that texts ask for, and are counted there, until a key
+    that the fewest terms have. Where these are more than a few, and many texts share the pair, it asks for its next
+    rarest pair as well, and so on: terms under a hot key go on to the longer keys that texts ask for, and are counted there, until a key
     holds few terms or all pairs of the text are in it, and terms under it are as good as results. So candidates
     grow with texts and results, not with the product of the texts and terms that share a pair.
 
@@ -383,7 +384,10 @@ def subsequence_pairs(
     keyed = _grams_of(term_bytes).withColumnRenamed("gram", "key").join(first, "key", "left_semi")
     met = []
     for step in range(1, MAX_PAIRS + 1):
-        done = (F.col("n_terms") <= FEW_TERMS) | (F.size("grams") <= step) | F.lit(step == MAX_PAIRS)
+        sharing = asked.groupBy("key").agg(F.count("*").alias("n_texts"))
+        asked = asked.join(sharing, "key")
+        few = (F.col("n_terms") <= FEW_TERMS) | (F.col("n_texts") <= FEW_TEXTS)
+        done = few | (F.size("grams") <= step) | F.lit(step == MAX_PAIRS)
         met.append(on_keys(asked.filter(done).select("text", "mask", "key"), keyed, ["key"]).drop("key"))
         rest = written(asked.filter(~done).withColumn("gram", F.get("grams", F.lit(step))))
         wanted = written(rest.select("key", "gram").distinct())
@@ -393,7 +397,7 @@ def subsequence_pairs(
         keyed = written(_with_next_pair(keyed, wanted, n_wanted))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n_terms"))
         # a longer key that no term has leaves its texts without terms
-        rest = rest.withColumn("key", _longer_key()).drop("n_terms", "gram")
+        rest = rest.withColumn("key", _longer_key()).drop("n_terms", "n_texts", "gram")
         asked = written(rest.join(sizes, "key"))
     pairs = met[0]
     for more in met[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.matching import edit_distance, ends_with_match, has_subsequence
-from placewright.functions.patterns import checked
+from placewright.functions.patterns import checked, required_literals
 from placewright.operators.filters import filter_places
 from placewright.plans.gazetteer import Gazetteer
 from placewright.plans.results import key_struct, order_columns, ranked, with_entry
@@ -28,11 +28,18 @@ def find(gazetteer: Gazetteer, query: str, *, rank: bool = False, **place_filter
 def regex(gazetteer: Gazetteer, pattern: str, *, rank: bool = False, **place_filter: str | None) -> DataFrame:
     """Terms whose leftmost match of the pattern reaches their end, by match type and id.
 
-    The JVM's engine backtracks, so patterns with nested repetitions can be slow on long terms.
+    What a match has to begin with lets the scan skip row groups, and terms without the other texts that it has to
+    contain are not matched against the pattern. The JVM's engine backtracks, so patterns with nested repetitions can be slow on long terms.
     """
     _require(pattern)
     checked(gazetteer.terms.sparkSession, pattern)
-    matches = gazetteer.terms.filter(ends_with_match(F.col("term"), pattern))
+    term, terms = F.col("term"), gazetteer.terms
+    prefix, contained = required_literals(pattern)
+    if prefix:
+        terms = terms.filter(term.startswith(prefix))
+    for literal in contained:
+        terms = terms.filter(term.contains(literal))
+    matches = terms.filter(ends_with_match(term, pattern))
     return _results(gazetteer, matches, order_columns(False, False), rank, place_filter)
 
 

@@ -151,9 +151,9 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
     # Nothing comes before the term that equals the text, so texts with one are done.
     winners = exact_pairs(texts, best).select("text", "term", "distance", "least.*")
     rest = written(texts.join(best, F.col("text") == F.col("term"), "left_anti"))
-    if mode == "fuzzy" and not k:
+    keys = _saved(gazetteer, deletions(1), place_filter)
+    if mode == "fuzzy" and not k and keys is not None:
         # A term with one more character comes before all that are longer, so its texts are done as well.
-        keys = _saved(gazetteer, deletions(1), place_filter)
         near = capped_subsequence_pairs(rest, best.select("term"), 1, gazetteer.longest_term(), keys)
         nearest = written(least_by(near.join(best, "term"), "text"))
         winners = winners.unionByName(nearest)

@@ -320,6 +320,9 @@ SELECT id AS p_partkey, CAST(levenshtein('{NAME}', name) AS INTEGER) AS distance
     "tag_words_levenshtein_first": _tag_words(_ONE_EDIT_APART, "met.distance, ord, id, term, pos, slot"),
     "saved_tag_find_first": _tag(*_EXACT, "first"),
     "saved_tag_levenshtein_first": _tag(*_edits(1), "first"),
+    "saved_tag_levenshtein_all": _tag(*_edits(1), "all"),
+    "saved_tag_starts_with_first": _tag(*_PREFIX, "first"),
+    "saved_tag_fuzzy_first": _tag(*_FUZZY, "first"),
     "stream_tag_starts_with": _tag(*_PREFIX, "first").replace(_MENTIONS, _EVENT_MENTIONS),
     "stream_tag_levenshtein": _tag(*_edits(1), "first").replace(_MENTIONS, _EVENT_MENTIONS),
     "stream_tag_find": _tag(*_EXACT, "first").replace(_MENTIONS, _EVENT_MENTIONS),
@@ -332,3 +335,4 @@ SELECT count(*) FILTER (WHERE src = 0) AS main_pairs, count(*) AS all_pairs FROM
 FROM (SELECT DISTINCT lower(c_mktsegment) AS lang FROM customer)""",
     "result_json": f"SELECT {_FLAT_JSON} FROM ({_tag(*_EXACT, 'first')})",
 }
+ORACLES["saved_regex"] = ORACLES["regex"]

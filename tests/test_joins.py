@@ -118,6 +118,7 @@ def test_long_strings(monkeypatch, sides, k, hot):
 def test_subsequences(monkeypatch, sides, few, most, broadcast):
     """Keys of one pair of bytes, and of as many as there are."""
     monkeypatch.setattr(joins, "FEW_TERMS", few)
+    monkeypatch.setattr(joins, "FEW_TEXTS", few)
     monkeypatch.setattr(joins, "MAX_PAIRS", most)
     monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", broadcast)
     texts, dictionary, text_list, term_list = sides

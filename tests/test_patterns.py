@@ -1,11 +1,13 @@
 """Regular expressions: acceptance, dialect, refusals."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from placewright import regex
 from placewright.functions.matching import ends_with_match, has_subsequence, is_subsequence
-from placewright.functions.patterns import translate
+from placewright.functions.patterns import required_literals, translate
 from tests import brute
 
 ACCEPTED = [
@@ -77,3 +79,46 @@ def test_subsequences(spark):
 def test_bytes_not_characters(spark):
     frame = spark.createDataFrame([("üФ",)], "whole string")
     assert frame.filter(has_subsequence(F.col("whole"), "ä")).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("pattern", "expected"),
+    [
+        ("^small r(ing|od) [EP].*#1[0-9]?", ("small r", [" ", "#1"])),
+        ("^abc", ("abc", [])),
+        ("abc$", ("", ["abc"])),
+        ("^ab?c+d{2,}e{0,1}f", ("a", ["c", "d", "f"])),
+        ("^(a|b)c", ("", ["c"])),
+        ("^a|b", ("", [])),
+        ("^(?:x(y)z)?a[bc]d", ("", ["a", "d"])),
+        ("(?i)^abc", ("", [])),
+        ("^[]a]bc", ("", [])),
+        (r"^a\.b\d\$c", ("a.b", ["$c"])),
+        (r"^\x{e9}ab", ("", ["ab"])),
+        ("^[[:alpha:]x]ab", ("", ["ab"])),
+        ("x*", ("", [])),
+        ("", ("", [])),
+    ],
+)
+def test_required_literals(pattern, expected):
+    assert required_literals(pattern) == expected
+
+
+def test_literals_lose_no_match(spark):
+    """Whatever matches has the literals, for patterns put together from pieces."""
+    rng = random.Random(4)
+    pieces = ["a", "b", "ab", "a?", "b*", "a+", "(a|b)", "(?:ab)?", "[ab]", ".", "b{2}", "a{0,1}", "b{1,2}", "[^a]", r"\.", "(b|)", "$"]
+    strings = ["".join(rng.choices("ab.", k=rng.randint(0, 7))) for _ in range(300)]
+    table = spark.createDataFrame([(s,) for s in strings], "term string").cache()
+    for _ in range(40):
+        pattern = rng.choice(["", "^"]) + "".join(rng.choices(pieces, k=rng.randint(1, 5)))
+        prefix, inner = required_literals(pattern)
+        matched = [r.term for r in table.where(ends_with_match(F.col("term"), pattern)).collect()]
+        assert all(t.startswith(prefix) and all(i in t for i in inner) for t in matched), pattern
+    table.unpersist()
+
+
+def test_prefix_reaches_the_scan(spark, gazetteer):
+    plan = regex(gazetteer, "^Frank(furt|en).*")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,Frank)" in plan
+    assert regex(gazetteer, "^Frank(furt|en).*").count() == regex(gazetteer, "Frank(furt|en).*").count() > 0
