@@ -22,7 +22,7 @@ from placewright.schema import ALTERNATE_COLUMNS, MAIN_COLUMNS
 from placewright.scratch import scratch_dir
 from placewright.sources.dumps import scan_alternates, scan_places
 from placewright.sources.mentions import read_mentions
-from placewright.sources.results import as_json
+from placewright.sources.results import as_json, read_response, write_response
 from placewright.star_schema_sql import ORACLES
 
 llm = corpus_pipeline = None
@@ -342,6 +342,16 @@ def _result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json(tag(star.order_mentions(spark, sf_dir), _gazetteer(spark, sf_dir)))
 
 
+def _response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results and their provenance, written as one and read again."""
+    path = scratch_dir(spark)
+    made_by = provenance(spark, DATA_DATE, star.raw_alternates(spark, sf_dir))
+    write_response(tag(star.order_mentions(spark, sf_dir), _gazetteer(spark, sf_dir)), made_by, path)
+    response = read_response(spark, path)
+    comment = response.provenance.select("comment").scalar()
+    return _flat(response.results).select("reference", "name", "id", comment.alias("comment"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator or query; each callable takes (spark, sf_dir)."""
     small = {"feature_class": "E", "feature_code": "ECONOMY", "country_code": "Brand#2"}
@@ -412,6 +422,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_counters": _load_counters,
         "provenance": _provenance,
         "result_json": _result_json,
+        "response": _response,
         **(llm.queries() if llm else {}),
         **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }

@@ -33,6 +33,19 @@ from placewright.schema import (
 _LINES_PER_BATCH = 20_000
 
 
+# A file's status as the file system prints it; a path may hold anything but the line break that separates them here.
+_STATUS = re.compile(r"\w+\{path=(?P<path>.*?); isDirectory=false; length=(?P<length>\d+);")
+
+
+def _files_below(spark: SparkSession, system, path) -> list[tuple[str, int]]:
+    """Paths and lengths of a file, or of the files of a folder; one call to the JVM gives all, however many there are."""
+    jvm = spark._jvm.org.apache.hadoop.util
+    statuses = jvm.functional.RemoteIterators.toList(system.listFiles(path, False))
+    printed = jvm.StringUtils.join("\n", statuses)
+    found = [_STATUS.match(line) for line in printed.split("\n")] if printed else []
+    return [(m["path"], int(m["length"])) for m in found]
+
+
 def list_files(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
     """Expand files and directories (one level, sorted) into a list of files, in order.
 
@@ -45,16 +58,16 @@ def list_files(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
         given = jvm.org.apache.hadoop.fs.Path(path)
         system = given.getFileSystem(configuration)
         if system.exists(given):
-            members = list(system.listStatus(given))
+            members = _files_below(spark, system, given)
         else:
-            members = list(system.globStatus(given) or [])
-            if not members:
+            found = system.globStatus(given)
+            if not found:
                 raise FileNotFoundError(path)
-        for member in sorted((m for m in members if m.isFile()), key=lambda m: m.getPath().toString()):
-            file = member.getPath().toString()
-            if member.getPath().getName()[0] not in "_.":
+            members = [(status.getPath().toString(), status.getLen()) for status in found if status.isFile()]
+        for file, length in sorted(members):
+            if file.rsplit("/", 1)[-1][0] not in "_.":
                 files.append(file)
-            elif member.getLen():
+            elif length:
                 raise ValueError(f"{file}: names that begin with an underscore or a dot cannot be read")
     return files
 
@@ -129,9 +142,9 @@ def scan_dump(
         file_table = spark.createDataFrame(
             [(no, _join_form(file)) for no, file in numbered], "file_no int, file string"
         )
-        # The list of files is already held by the driver, so it is small enough to broadcast.
+        # a local table, whose size Spark knows: it is broadcast if it is small
         scan = scan.withColumn("file", _join_form_column(F.col("file"), encoded=not is_xz))
-        scan = scan.join(F.broadcast(file_table), "file")
+        scan = scan.join(file_table, "file")
         scans.append(scan.select(*_complete(columns, defaults, names), *POSITION_FIELDS))
     result = scans[0]
     for scan in scans[1:]:

@@ -336,3 +336,5 @@ FROM (SELECT DISTINCT lower(c_mktsegment) AS lang FROM customer)""",
     "result_json": f"SELECT {_FLAT_JSON} FROM ({_tag(*_EXACT, 'first')})",
 }
 ORACLES["saved_regex"] = ORACLES["regex"]
+ORACLES["response"] = f"""SELECT reference, name, id, (SELECT comment FROM ({ORACLES["provenance"]})) AS comment
+FROM ({ORACLES["tag_find_first"]})"""
