@@ -371,7 +371,8 @@ def subsequence_pairs(
     that the fewest terms have. Where these are more than a few, and many texts share the pair, it asks for its next
     rarest pair as well, and so on: terms under a hot key go on to the longer keys that texts ask for, and are counted there, until a key
     holds few terms or all pairs of the text are in it, and terms under it are as good as results. So candidates
-    grow with texts and results, not with the product of the texts and terms that share a pair.
+    grow with terms under keys (each meets ``FEW_TEXTS`` texts at most) and results, not with the product of the
+    texts and terms that share a pair.
 
     The counts of bytes and pairs have at most 256 * 256 + 256 + 1 rows whatever the data. What is known of a step is
     written to tables, so that the plan for the rest follows measured sizes. ``counts`` may come from a
