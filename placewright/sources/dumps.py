@@ -14,10 +14,10 @@ import lzma
 import re
 import warnings
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +31,7 @@ from placewright.schema import (
 )
 
 _LINES_PER_BATCH = 20_000
+_XZ_BUFFER = 1 << 20
 
 
 # A file's status as the file system prints it; a path may hold anything but the line break that separates them here.
@@ -143,7 +144,7 @@ def scan_dump(
             [(no, _join_form(file)) for no, file in numbered], "file_no int, file string"
         )
         # a local table, whose size Spark knows: it is broadcast if it is small
-        scan = scan.withColumn("file", _join_form_column(F.col("file"), encoded=not is_xz))
+        scan = scan.withColumn("file", _join_form_column(F.col("file")))
         scan = scan.join(file_table, "file")
         scans.append(scan.select(*_complete(columns, defaults, names), *POSITION_FIELDS))
     result = scans[0]
@@ -180,9 +181,9 @@ def _join_form(file: str) -> str:
     return re.sub(r"^file:/+", "file:/", file)
 
 
-def _join_form_column(file: Column, encoded: bool) -> Column:
-    if encoded:  # url_decode would also turn a plus sign into a space
-        file = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+def _join_form_column(file: Column) -> Column:
+    # url_decode would also turn a plus sign into a space
+    file = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(file, "^file:/+", "file:/")
 
 
@@ -199,12 +200,12 @@ def _widths(spark: SparkSession, is_xz_file: dict[str, bool], options: dict) ->
         if not files:
             continue
         if is_xz:
-            lines = _xz_lines(spark, files).select("file", F.col("row").alias("at"), F.col("line").alias("value"))
+            lines = _xz_lines(spark, files, heads=True).select("file", F.col("row").alias("at"), F.col("line").alias("value"))
         else:
             lines = spark.read.text(files).where("_metadata.file_block_start = 0 and value <> ''")
             lines = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
         first = lines.groupBy("file").agg(F.min_by("value", "at").alias("value"))
-        found = {r.file if is_xz else unquote(r.file): r.value for r in first.toLocalIterator()}
+        found = {unquote(r.file): r.value for r in first.toLocalIterator()}
         found = {_join_form(file): value for file, value in found.items()}
         heads.update({file: found[_join_form(file)] for file in files if _join_form(file) in found})
     widths = {}
@@ -227,18 +228,60 @@ def _scan_xz(
     return parsed.select("parsed.*", "file", F.lit(0).cast("long").alias("block"), "row")
 
 
-def _xz_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    raw = spark.read.format("binaryFile").load(files).select("path", "content")
-    return raw.mapInPandas(_decompress, "file string, row long, line string")
+def _xz_lines(spark: SparkSession, files: list[str], heads: bool = False) -> DataFrame:
+    """``file``, ``row`` and ``line`` of the lines that are not blank, or of the first one of each file.
 
-
-def _decompress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with lzma.open(io.BytesIO(content), "rt", encoding="utf-8") as stream:
+    The bytes between two line feeds are the rows of a text scan, so that any file system reads a file in splits; put in
+    order again they are decompressed as they come. A task holds a piece of a file at a time, however long it is.
+    """
+    raw = spark.read.text(files, lineSep="\n")
+    if heads:
+        raw = raw.where("_metadata.file_block_start = 0")
+    raw = raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").cast("binary").alias("piece"),
+    )
+    pieces = raw.repartition("file").sortWithinPartitions("file", "start", "at").select("file", "piece")
+    return pieces.mapInArrow(_decompressing(heads), "file string, row long, line string")
+
+
+class _Pieces(io.RawIOBase):
+    """The bytes of a file from its pieces between line feeds."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces = itertools.chain.from_iterable((b"\n", piece) if i else (piece,) for i, piece in enumerate(pieces))
+        self.rest = memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer: memoryview) -> int:
+        while not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = memoryview(piece)
+        n = min(len(buffer), len(self.rest))
+        buffer[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _decompressing(heads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def decompress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist(), strict=True))
+        for file, pieces in itertools.groupby(rows, key=lambda row: row[0]):
+            source = io.BufferedReader(_Pieces(piece for _, piece in pieces), _XZ_BUFFER)
+            with lzma.open(source, "rt", encoding="utf-8") as stream:
                 # Blank lines are no records; the first record counts as row 0.
                 lines = (line.rstrip("\n") for line in stream)
                 numbered = enumerate(line for line in lines if line)
+                if heads:
+                    numbered = itertools.islice(numbered, 1)
                 while chunk := list(itertools.islice(numbered, _LINES_PER_BATCH)):
-                    frame = pd.DataFrame(chunk, columns=["row", "line"])
-                    yield frame.assign(file=path)[["file", "row", "line"]]
+                    numbers, values = zip(*chunk, strict=True)
+                    columns = [pa.array([file] * len(chunk)), pa.array(numbers, pa.int64()), pa.array(values, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["file", "row", "line"])
+
+    return decompress

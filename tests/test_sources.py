@@ -5,6 +5,8 @@ import gzip
 import json
 import lzma
 import math
+import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from placewright import Gazetteer, find
 from placewright.functions.parsing import lenient_float, lenient_smallint, strict_id
 from placewright.schema import MAIN_COLUMNS
+from placewright.sources import dumps
 from placewright.sources.dumps import list_files, scan_alternates, scan_places
 from placewright.sources.mentions import as_mentions, read_mentions
 from placewright.sources.results import as_json, write_results
@@ -57,6 +60,37 @@ def test_compression(spark, tmp_path, extension):
     assert scan.filter("name = 'Frankfort'").first().elevation == ""
 
 
+def test_xz_files_read_in_splits(spark, tmp_path):
+    rng = random.Random(8)
+    texts = {}
+    for name in ("a b+c", "ü", "empty"):
+        texts[name] = ["\t".join(str(rng.getrandbits(60)) for _ in range(3)) for _ in range(0 if name == "empty" else 3_000)]
+        with lzma.open(tmp_path / f"{name}.xz", "wt", encoding="utf-8") as out:
+            out.write("\n\r\n".join(texts[name]))
+    assert (tmp_path / "ü.xz").read_bytes().count(b"\n") > 100
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        lines = dumps._xz_lines(spark, [str(tmp_path)])
+        rows = lines.collect()
+        firsts = dumps._xz_lines(spark, [str(tmp_path)], heads=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "binaryFile" not in lines._jdf.queryExecution().toString()
+    of = {unquote(r.file).rsplit("/", 1)[1][:-3] for r in rows}
+    assert of == {"a b+c", "ü"}
+    for name in of:
+        assert [r.line for r in sorted((r for r in rows if unquote(r.file).endswith(f"/{name}.xz")), key=lambda r: r.row)] == texts[name]
+    assert {(unquote(r.file).rsplit("/", 1)[1][:-3], r.row, r.line) for r in firsts} == {(name, 0, texts[name][0]) for name in of}
+
+
+def test_xz_files_cut_short_fail(spark, tmp_path):
+    whole = lzma.compress("\n".join(main_lines() * 500).encode())
+    (tmp_path / "places.xz").write_bytes(whole[: len(whole) - 20])
+    with pytest.raises(Exception, match="(?i)end-of-stream"):
+        scan_places(spark, str(tmp_path / "places.xz")).select("name").collect()
+
+
 def test_unknown_extension_warns(spark, tmp_path):
     with pytest.warns(UserWarning, match="unknown extension"):
         scan_places(spark, write_lines(tmp_path / "places.dump", main_lines()))
