@@ -16,6 +16,7 @@ from placewright.functions.parsing import (
     type_ordinal,
 )
 from placewright.operators.ranking import with_rank
+from placewright.operators.reduction import leaders, without_beaten
 from placewright.schema import SRC_ALTERNATE, SRC_MAIN
 
 
@@ -47,6 +48,14 @@ def place_records(raw: DataFrame) -> DataFrame:
     return keyed.groupBy("id").agg(F.max_by("record", "at").alias("record")).select("id", "record.*")
 
 
+def last_rows(raw: DataFrame) -> DataFrame:
+    """Main rows without most of those that a later row of their id overwrites; reads the rows once, at once."""
+    order = ["file_no", "block", "row"]
+    rows = raw.withColumn("id", strict_id(F.col("id")))
+    kept = without_beaten(rows, "id", order, leaders(rows, "id", order, largest=True))
+    return kept.withColumn("id", F.col("id").cast("string"))
+
+
 def main_pairs(raw: DataFrame) -> DataFrame:
     """One or two search pairs per main row: the ASCII name, if it differs, then the name."""
     ascii_pair = F.struct(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from placewright.functions.parsing import strict_id
 from placewright.operators.joins import gram_counts
-from placewright.operators.terms import alternate_pairs, main_pairs, place_records, searchable
+from placewright.operators.reduction import leaders
+from placewright.operators.terms import alternate_pairs, last_rows, main_pairs, place_records, searchable
 from placewright.plans.saved import PLACES, load_tables, save_tables
 from placewright.schema import DEFAULT_LANGUAGES, SRC_ALTERNATE, SRC_MAIN
 from placewright.sources.dumps import scan_alternates, scan_places
@@ -34,7 +35,7 @@ class Gazetteer:
     ) -> Gazetteer:
         """From raw rows with a position, as the scans in ``sources.dumps`` return them."""
         places = place_records(main)
-        return cls(places, searchable(search_pairs(main, alternates, languages)))
+        return cls(places, searchable(search_pairs(main, alternates, languages)), _known={"main": main})
 
     @classmethod
     def build(
@@ -76,14 +77,27 @@ class Gazetteer:
     def longest_term(self) -> int:
         """Length of the longest term; one aggregation, done once per gazetteer."""
         if "longest_term" not in self._known:
-            row = self.terms.agg(F.max("term_len").alias("longest")).first()
+            row = self.vocabulary().agg(F.max(F.length("term")).alias("longest")).first()
             self._known["longest_term"] = row.longest or 0
         return self._known["longest_term"]
 
+    def vocabulary(self) -> DataFrame:
+        """The distinct terms, each with its least match type and id and its number of postings; written once per gazetteer."""
+        if "vocabulary" not in self._known:
+            self._known["vocabulary"] = leaders(self.terms, "term", ["ord", "id"])
+        return self._known["vocabulary"]
+
+    def entries(self) -> DataFrame:
+        """The places, for consumers of whole records: rows that others overwrite go before they are aggregated."""
+        if "entries" not in self._known:
+            main = self._known.get("main")
+            self._known["entries"] = self.places if main is None else place_records(last_rows(main))
+        return self._known["entries"]
+
     def gram_counts(self) -> DataFrame:
         """Numbers of terms under pairs of bytes, for subsequence joins; counted once per gazetteer."""
         if "gram_counts" not in self._known:
-            self._known["gram_counts"] = gram_counts(self.terms.select("term").distinct())
+            self._known["gram_counts"] = gram_counts(self.vocabulary().select("term"))
         return self._known["gram_counts"]
 
 

@@ -119,7 +119,7 @@ def _within(terms: DataFrame, query: str, cap: int) -> DataFrame:
 def _results(
     gazetteer: Gazetteer, matches: DataFrame, order: list[str], rank: bool, place_filter: dict
 ) -> DataFrame:
-    entries = with_entry(matches, filter_places(gazetteer.places, **place_filter))
+    entries = with_entry(matches, filter_places(gazetteer.entries(), **place_filter))
     columns = [key_struct(F.col("term")), "entry", *(["distance"] if "distance" in matches.columns else [])]
     if rank:
         return ranked(entries, [], order).select(*columns, "rank")

@@ -19,6 +19,7 @@ from placewright.operators.joins import (
     subsequence_pairs,
     with_prefixes,
 )
+from placewright.operators.reduction import leaders, without_beaten
 from placewright.plans.gazetteer import Gazetteer
 from placewright.plans.results import key_struct, order_columns, ranked, with_entry
 from placewright.plans.saved import BEST, PREFIXES, best_postings, deletions, least_by
@@ -103,6 +104,18 @@ def _postings(gazetteer: Gazetteer, place_filter: dict) -> DataFrame:
     return gazetteer.terms.join(passing, "id", "left_semi")
 
 
+def _leading(gazetteer: Gazetteer, insertion_order: bool, place_filter: dict) -> DataFrame:
+    """Postings without most of those that come after another one of their term."""
+    postings = _postings(gazetteer, place_filter)
+    if insertion_order:
+        order = ["src", "file_no", "block"]
+        rows = postings.select("*", *[F.col(f"seq.{name}").alias(name) for name in order])
+        return without_beaten(rows, "term", order, leaders(rows, "term", order)).drop(*order)
+    order = ["ord", "id"]
+    whole = place_condition(**place_filter) is None
+    return without_beaten(postings, "term", order, gazetteer.vocabulary() if whole else leaders(postings, "term", order))
+
+
 def _saved(gazetteer: Gazetteer, name: str, place_filter: dict) -> DataFrame | None:
     """A saved table; it holds terms of all places, so a filter cannot use it."""
     return gazetteer.tables.get(name) if place_condition(**place_filter) is None else None
@@ -113,7 +126,12 @@ def _all(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filter
     if mode == "find" or (mode == "levenshtein" and k == 0):
         return exact_pairs(texts, postings)
     best = _saved(gazetteer, BEST, place_filter)
-    dictionary = postings.select("term").distinct() if best is None else best.select("term")
+    if best is not None:
+        dictionary = best.select("term")
+    elif place_condition(**place_filter) is None:
+        dictionary = gazetteer.vocabulary().select("term")
+    else:
+        dictionary = postings.select("term").distinct()
     keys = _saved(gazetteer, deletions(k), place_filter) if k else None
     pairs = _pairs(texts, dictionary, gazetteer, mode, k, keys)
     return (once(pairs) if _repeats(mode, k) else pairs).join(postings, "term")
@@ -131,8 +149,8 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
     exact = mode == "find" or (mode == "levenshtein" and k == 0)
     chosen = "earliest.*" if mode == "find" else "least.*"
     if exact and best is None:
-        # terms that no text asks for are gone before they are reduced
-        asked = _postings(gazetteer, place_filter).join(texts, F.col("term") == F.col("text"), "left_semi")
+        # few postings of a frequent term meet the texts, and terms that no text asks for are gone before the rest is reduced
+        asked = _leading(gazetteer, mode == "find", place_filter).join(texts, F.col("term") == F.col("text"), "left_semi")
         best = best_postings(asked)
     if exact:
         return exact_pairs(texts, best).select("text", "term", "distance", chosen)
@@ -142,7 +160,7 @@ def _first(texts: DataFrame, gazetteer: Gazetteer, mode: str, k: int, place_filt
             found = texts.join(prefixes, "text")
             return found.filter(F.col("distance") <= k) if k else found
     if best is None:
-        best = best_postings(_postings(gazetteer, place_filter)).select("term", "least")
+        best = best_postings(_leading(gazetteer, False, place_filter)).select("term", "least")
         if mode != "starts_with":  # read several times, so made once
             best = written(best)
     if mode == "starts_with":
