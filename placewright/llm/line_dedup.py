@@ -178,9 +178,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     same = (F.coalesce("doc_id", F.lit(LEAST_ID)) == F.col("id")) & (F.xxhash64(text) == F.col("part"))
     joined = packed(docs).join(gone, same, "left")
-    split = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
-    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+
+    def staying(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    # the array of one binds the lines to a name: within the inner function a text would be split anew for each of its lines
+    kept = F.transform(F.array(F.split(text, "\n")), staying)[0]
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     return joined.select(

@@ -68,3 +68,10 @@ def test_odd_rows_keep_all_columns(spark):
     assert by_id[10].text == "line a b c d e\n" and by_id[10].n_chars == 15
     assert by_id[4].text == "one" and by_id[5].text == ""
     assert deduped(docs.limit(0)).count() == 0
+
+
+def test_a_text_is_split_once_and_not_for_each_line(spark):
+    rows = documents(spark, [(1, "one\none\ntwo", "s"), (2, "two\nthree\n\none", "s"), (3, None, "s")])
+    plan = dedup_lines(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "lambdafunction(split(" not in plan
+    assert {r.doc_id: r.text for r in dedup_lines(rows).collect()} == {1: "one\ntwo", 2: "three\n", 3: None}
