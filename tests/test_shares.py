@@ -41,3 +41,11 @@ def test_a_text_is_dealt_to_several_tasks(spark, gazetteer, few):
     mentions = spark.createDataFrame([(ref, text) for ref in range(400)], "reference long, text string").coalesce(1)
     tasks = tag(mentions, gazetteer, "starts_with", "all").groupBy(F.spark_partition_id().alias("task")).count()
     assert tasks.count() > 1
+
+
+def test_a_join_holds_mentions_not_matches(spark, gazetteer):
+    mentions = spark.createDataFrame([(1, "a")], "reference long, text string")
+    node = tag(mentions, gazetteer, "starts_with", "all")._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    assert [side.output().mkString(",").count("reference#") for side in (node.children().apply(0), node.children().apply(1))] == [0, 1]
