@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from placewright.llm import jaccard_join
@@ -108,3 +109,20 @@ def test_pipeline_takes_five_words_and_four_fifths(spark):
     stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == kept
     assert {r.doc_id for r in one_of_each(docs).collect()} > kept
+
+
+@pytest.mark.parametrize("share", [0, 0.5, 1])
+def test_frequent_shingles_change_no_result(spark, monkeypatch, share):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    base = [rng.choices(vocabulary, k=rng.choice([5, 30, 80])) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    shingles = np.unique(np.concatenate(list(jaccard_join.Shingles().sets([text for _, text in rows]))))
+    chosen = shingles[np.random.default_rng(3).random(len(shingles)) < share]
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda *_: chosen)
+    assert found(documents(spark, [(i, text, "s") for i, text in rows])) == brute(rows)
